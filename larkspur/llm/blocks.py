@@ -24,6 +24,20 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOC
             yield batch.slice(start), unpacked(texts, start, len(texts))
 
 
+def byte_blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The same with UTF-8 bytes, which need no decoding."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+        start, size = 0, 0
+        for i, n in enumerate(lengths(texts)):
+            if size and size + n > most:
+                yield batch.slice(start, i - start), [x or b"" for x in texts.slice(start, i - start).to_pylist()]
+                start, size = i, 0
+            size += n
+        if start < len(texts):
+            yield batch.slice(start), [x or b"" for x in texts.slice(start).to_pylist()]
+
+
 def lengths(texts: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 

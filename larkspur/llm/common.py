@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 
 #: White space that separates words; everything else belongs to a word.
 WORD_SPACE = r"[\x20\x09-\x0D]"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: For str.translate: lower-cases A-Z only.
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
-#: For str.translate: the other word separators become blanks. A word can hold any other white space.
-TO_BLANK = {c: " " for c in range(0x09, 0x0E)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +33,40 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{WORD_SPACE}+"))
 
 
-def split_words(text: str) -> list[str]:
-    """The same words, in Python."""
-    return [w for w in text.translate(TO_BLANK).split(" ") if w]
+#: For bytes.translate: lower-cases A-Z only; UTF-8 bytes of other characters stay.
+LOWER_BYTES = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """The same words of a UTF-8 text, in Python: bytes.split() without a separator cuts at exactly WORD_SPACE."""
+    return text.split()
+
+
+def split_lower(text: bytes) -> list[bytes]:
+    """Those words with A-Z lower-cased."""
+    return text.translate(LOWER_BYTES).split()
+
+
+def key_bounds(docs: DataFrame, key: str, parts: int) -> list:
+    """Keys that cut the table into at most `parts` ranges of about equal size: each is some row's key, the last the largest.
+
+    Only the key column is read, and only the bounds come to the driver, as for any range partitioning.
+    """
+    probabilities = [(i + 1) / parts for i in range(parts)]
+    found = docs.agg(F.percentile_approx(key, probabilities, F.lit(max(1000, 20 * parts))).alias("at"), F.max(key).alias("top")).first()
+    return sorted({*(found["at"] or []), *([found["top"]] if found["top"] is not None else [])})
+
+
+def range_of(key: str | Column, bounds: list) -> Column:
+    """The number of the range that a key is in: how many bounds lie below it. Null keys are in the first range."""
+    key = F.col(key) if isinstance(key, str) else key
+    if not bounds:
+        return F.lit(0)
+    return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < key)))
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,8 +1,8 @@
 """Quality classifier: a sparse rule ensemble compiled into Spark column expressions.
 
 Shallow trees over text statistics give conjunctive rules (one for each path), a lasso logistic regression weighs them,
-and the rules that keep a weight become one Column. Texts are read once: their statistics go to the shared folder, and
-fitting and scoring use those. Fitting sees a bounded sample of the labelled rows (MAX_TRAIN), scoring every row.
+and the rules that keep a weight become one Column. Fitting sees a bounded sample of the labelled rows (MAX_TRAIN),
+scoring every row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold, text_of, written
+from larkspur.llm.common import fold, text_of
 from larkspur.llm.textstats import with_counts
 
 #: Labelled rows that trees and weights are fitted on, at most: those first by a hash of their key.
-MAX_TRAIN = 50_000
+MAX_TRAIN = 20_000
+#: Rows with this remainder of crc32(key as text) are held out.
+FOLDS, HELD = 5, 0
 TREES, DEPTH, SEED = 24, 4, 11
 LASSO = 0.0005
 #: A document is accepted from this score on.
@@ -36,8 +38,8 @@ class Rule:
 
     tests: tuple[tuple[str, float, bool], ...]
 
-    def column(self) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(f) > t if above else F.col(f) <= t for f, t, above in self.tests])
+    def column(self, of=F.col) -> Column:
+        return reduce(lambda a, b: a & b, [of(f) > t if above else of(f) <= t for f, t, above in self.tests])
 
 
 @dataclass(frozen=True)
@@ -46,15 +48,21 @@ class RuleModel:
     intercept: float
 
     def score(self) -> Column:
-        """The probability of label 1, over columns named as in FEATURES."""
-        margin = reduce(lambda a, b: a + b, [F.when(r.column(), F.lit(w)).otherwise(F.lit(0.0)) for r, w in self.rules], F.lit(self.intercept))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+        """The probability of label 1, over columns named as in FEATURES.
 
+        The features are bound to one variable, so that no optimiser rule repeats their expressions in every rule.
+        """
 
-def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and FEATURES of each row; all zero for an empty or null text."""
-    plain = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    df = with_counts(plain)
+        def probability(x: Column) -> Column:
+            margin = reduce(lambda a, b: a + b, [F.when(r.column(x.getField), F.lit(w)).otherwise(F.lit(0.0)) for r, w in self.rules], F.lit(self.intercept))
+            return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+
+        return F.transform(F.array(F.struct(*FEATURES)), probability)[0]
+
+
+def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`row` (a struct of docs' columns) and FEATURES; all zero for an empty or null text."""
+    df = with_counts(docs.select(F.struct(*docs.columns).alias("row"), text_of(text).alias("text")))
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.length("text"), F.lit(1))
     lines = F.greatest(F.size("_lines"), F.lit(1))
     stutters = F.size(F.filter(F.col("_words"), lambda w, i: w == F.get(F.col("_words"), i - 1)))
@@ -74,19 +82,20 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         "words_a_line": F.log1p(F.col("n_words") / lines),
         "stop_rate": F.regexp_count("text", F.lit(r"\.")) / words,
     }
-    return df.select("key", *[made[f].cast("double").alias(f) for f in FEATURES])
+    return df.select("row", *[made[f].cast("double").alias(f) for f in FEATURES])
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", folds: int = 5, held: int = 0, most: int = MAX_TRAIN) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_TRAIN) -> DataFrame:
     """FEATURES and y of the labelled rows outside the held-out fold, at most `most`.
 
     A key with several labels has the largest; null labels and null keys teach nothing. The sample is chosen from the
-    labels alone, so only its keys are compared with all documents.
+    labels alone; its bound lets its keys be broadcast, so the texts of other rows don't move and aren't analysed.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).dropna()
-    known = known.filter(fold("key", folds) != held).groupBy("key").agg(F.max("y").alias("y"))
+    known = known.filter(fold("key", FOLDS) != HELD).groupBy("key").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("key"), "key").limit(most)
-    return stats.join(known, "key").dropDuplicates(["key"]).select("y", *FEATURES)
+    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key")
+    return with_statistics(plain, "text").select(F.col("row.key").alias("key"), F.col("row.y").alias("y"), *FEATURES).dropDuplicates(["key"]).select("y", *FEATURES)
 
 
 def _paths(node, tests: tuple = ()) -> list[tuple]:
@@ -125,13 +134,18 @@ def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float =
         train.unpersist()
 
 
+def scored(docs: DataFrame, model: RuleModel, text: str = "text", into: str = "score") -> DataFrame:
+    """The columns of docs and `into`, 0 to 1, by column expressions alone. A column named `into` is replaced."""
+    names = [c for c in docs.columns if c != into]
+    return with_statistics(docs, text).select(*[F.col("row")[c].alias(c) for c in names], model.score().alias(into))
+
+
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """One row per row of docs: key, held_out, score (0 to 1), predicted (1 where score >= ACCEPT).
 
     Empty and null texts have statistics of zero and a score like any other. Repeated rows each come back; a null key is
     scored and never learned from. Columns of docs other than key and text aren't read. An empty table gives no rows.
     """
-    stats = written(statistics(docs, key, text), "quality-stats")
-    model = fit(training_rows(stats, labels, label, key))
-    scored = stats.select(F.col("key").alias(key), (fold("key", 5) == 0).alias("held_out"), model.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+    model = fit(training_rows(docs, labels, key, text, label))
+    rows = scored(docs.select(key, text), model, text, "score")
+    return rows.select(key, (fold(key, FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
