@@ -24,7 +24,7 @@ from larkspur.llm.textstats import with_counts
 MAX_TRAIN = 20_000
 #: Rows with this remainder of crc32(key as text) are held out.
 FOLDS, HELD = 5, 0
-TREES, DEPTH, SEED = 24, 4, 11
+TREES, DEPTH, SEED = 12, 3, 11
 LASSO = 0.0005
 #: A document is accepted from this score on.
 ACCEPT = 0.3
@@ -47,8 +47,8 @@ class RuleModel:
     rules: tuple[tuple[Rule, float], ...]
     intercept: float
 
-    def score(self) -> Column:
-        """The probability of label 1, over columns named as in FEATURES.
+    def scores(self) -> Column:
+        """An array of one: the probability of label 1, over columns named as in FEATURES.
 
         The features are bound to one variable, so that no optimiser rule repeats their expressions in every rule.
         """
@@ -57,7 +57,7 @@ class RuleModel:
             margin = reduce(lambda a, b: a + b, [F.when(r.column(x.getField), F.lit(w)).otherwise(F.lit(0.0)) for r, w in self.rules], F.lit(self.intercept))
             return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
-        return F.transform(F.array(F.struct(*FEATURES)), probability)[0]
+        return F.transform(F.array(F.struct(*FEATURES)), probability)
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -127,7 +127,7 @@ def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float =
         if not rules:
             return RuleModel((), math.log(ones / (n - ones)))
         seen = train.select("y", array_to_vector(F.array(*[r.column().cast("double") for r in rules])).alias("features"))
-        lasso_fit = LogisticRegression(labelCol="y", elasticNetParam=1.0, regParam=lasso, maxIter=60, standardization=True).fit(seen)
+        lasso_fit = LogisticRegression(labelCol="y", elasticNetParam=1.0, regParam=lasso, maxIter=40, standardization=True).fit(seen)
         weights = [float(w) for w in lasso_fit.coefficients.toArray()]
         return RuleModel(tuple((r, w) for r, w in zip(rules, weights, strict=True) if w), float(lasso_fit.intercept))
     finally:
@@ -137,7 +137,9 @@ def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float =
 def scored(docs: DataFrame, model: RuleModel, text: str = "text", into: str = "score") -> DataFrame:
     """The columns of docs and `into`, 0 to 1, by column expressions alone. A column named `into` is replaced."""
     names = [c for c in docs.columns if c != into]
-    return with_statistics(docs, text).select(*[F.col("row")[c].alias(c) for c in names], model.score().alias(into))
+    # exploded, so that a filter on the score isn't pushed below the statistics, whose expressions it would repeat
+    made = with_statistics(docs, text).select("row", F.explode_outer(model.scores()).alias("_made"))
+    return made.select(*[F.col("row")[c].alias(c) for c in names], F.col("_made").alias(into))
 
 
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
