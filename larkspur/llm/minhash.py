@@ -5,9 +5,9 @@ coordinate of a signature is the least order among the document's cells shifted
 are a window of consecutive entries of the second permutation.
 
 Copies collapse into classes first: rows of equal shingle sets have equal digests. Classes are banded; in each bucket every
-class is compared with the bucket's first one. Classes of a bucket that this leaves in different components are compared
-with each other in a second pass, so no link between buckets' members is lost, and a bucket of mostly linked classes costs
-its size and not its square. Links are confirmed on full sets of shingles.
+class is compared with the bucket's first one, then, where that leaves several components in a bucket, with others that
+hashes draw, and in the end all members of different components with each other. So no link between a bucket's members
+is lost, and a bucket of mostly linked classes costs its size and not its square. Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ UNIVERSE, COORDINATES = 1 << 20, 256
 ROWS = 8
 BANDS = 2 * COORDINATES // ROWS
 SEED = 20_240
+#: Rounds in which members of a bucket in different components are compared with one that a hash draws; then all are.
+TURNS = 2
 #: Tables of up to this many node ids (16 bytes each) are broadcast, larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words whose hash a task remembers.
@@ -178,6 +180,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.filter(alike(F.size("u_set"), F.size("v_set"), F.col("both"), percent)).select("u", "v")
 
 
+def _apart(members: DataFrame, known: DataFrame) -> DataFrame:
+    """bucket, cid, n, root of the buckets whose members are in several components."""
+    placed = members.select("bucket", "cid", "n").join(known, members["cid"] == known["node"], "left").select("bucket", "cid", "n", F.coalesce("root", "cid").alias("root"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select("bucket")
+    return placed.join(several, "bucket")
+
+
+def _turn(rest: DataFrame, turn: int, percent: int) -> DataFrame:
+    """u, v: every member with one of its bucket that a hash draws, if they are in different components."""
+    drawn = rest.withColumn("h", F.xxhash64(F.lit(turn), "bucket", "cid"))
+    least = drawn.groupBy("bucket").agg(F.min("h").alias("h"))
+    heads = drawn.join(least, ["bucket", "h"]).select("bucket", F.col("cid").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
+    found = rest.join(heads, "bucket").filter((F.col("root") != F.col("a_root")) & sizes_fit(F.col("n"), F.col("a_n"), percent))
+    return found.select(F.least("cid", "a").alias("u"), F.greatest("cid", "a").alias("v")).distinct()
+
+
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """u, v: every pair of a bucket's members in different components. Only those outside the bucket's main component are
+    set against all others, so the number of pairs is that of stragglers times the bucket's size."""
+    shares = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = shares.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    placed = rest.join(main, "bucket").withColumn("apart", F.col("root") != F.col("main"))
+    left = placed.filter("apart").select("bucket", F.col("cid").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
+    found = left.join(placed, "bucket").filter((F.col("root") != F.col("a_root")) & (~F.col("apart") | (F.col("a") < F.col("cid"))) & sizes_fit(F.col("n"), F.col("a_n"), percent))
+    return found.select(F.least("cid", "a").alias("u"), F.greatest("cid", "a").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id, kept.
 
@@ -195,29 +224,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     heads = banded.groupBy("bucket").agg(F.min("cid").alias("head"), F.max("cid").alias("last")).filter("head < last").select("bucket", "head")
     members = written(banded.join(heads, "bucket"), "members")
     sizes = classes.select(F.col("cid").alias("u"), F.col("n").alias("u_n"))
-    star = members.filter("cid != head").select(F.col("head").alias("u"), F.col("cid").alias("v"), "n").distinct()
-    star = star.join(sizes, "u").filter(sizes_fit(F.col("n"), F.col("u_n"), percent)).select("u", "v")
-    star = written(star, "star-pairs")
-
-    def fetched(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("u").alias("cid")).unionAll(pairs.select(F.col("v").alias("cid"))).distinct()
-        nodes = written(classes.select("cid", "first_key", "digest").join(ids, "cid"), "nodes")
-        return written(sets_of(docs, key, text, width, nodes), "sets")
-
-    links = written(confirmed(star, fetched(star), percent), "star-links")
+    nodes = written(classes.select("cid", "first_key", "digest").join(members.select("cid").distinct(), "cid"), "nodes")
+    sets = written(sets_of(docs, key, text, width, nodes), "sets")
+    heads = members.select("bucket", F.col("head").alias("u")).distinct().join(classes.select(F.col("cid").alias("u"), F.col("n").alias("u_n")), "u")
+    star = members.filter("cid != head").join(heads, "bucket").filter(sizes_fit(F.col("n"), F.col("u_n"), percent))
+    seen = written(star.select("u", F.col("cid").alias("v")).distinct(), "pairs")
+    links = written(confirmed(seen, sets, percent), "links")
     known = written(components(links), "roots")
-    placed = members.join(known, members["cid"] == known["node"], "left").select("bucket", "cid", "n", "head", F.coalesce("root", "cid").alias("root"))
-    mixed_up = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select("bucket")
-    # the head has been compared with all, and what it is linked with needs no comparing with each other
-    tops = placed.filter("cid = head").select("bucket", F.col("root").alias("main")).join(mixed_up, "bucket")
-    rest = written(placed.filter("cid != head").join(tops, "bucket").select("bucket", "cid", "n", "root", (F.col("root") != F.col("main")).alias("apart")), "mixed-buckets")
-    left = rest.filter("apart").select("bucket", F.col("cid").alias("u"), F.col("n").alias("u_n"), F.col("root").alias("u_root"))
-    right = rest.select("bucket", F.col("cid").alias("v"), F.col("n").alias("v_n"), F.col("root").alias("v_root"), "apart")
-    across = left.join(right, "bucket").filter((F.col("u_root") != F.col("v_root")) & (~F.col("apart") | (F.col("u") < F.col("v"))) & sizes_fit(F.col("u_n"), F.col("v_n"), percent))
-    across = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    across = written(across, "cross-pairs")
-    if not across.isEmpty():
-        links = written(links.unionAll(confirmed(across, fetched(across), percent)), "links")
+    rest = members.select("bucket", "cid", "n")
+    for turn in range(TURNS + 1):
+        rest = written(_apart(rest, known), "mixed-buckets")
+        if rest.isEmpty():
+            break
+        pairs = _turn(rest, turn, percent) if turn < TURNS else _across(rest, percent)
+        pairs = written(pairs.join(seen, ["u", "v"], "left_anti"), "pairs")
+        seen = seen.unionAll(pairs)
+        links = written(links.unionAll(confirmed(pairs, sets, percent)), "links")
         known = written(components(links), "roots")
 
     firsts = known.join(classes.select(F.col("cid").alias("node"), "first_key"), "node")
