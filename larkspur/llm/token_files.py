@@ -39,10 +39,36 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        marks = [(t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
+        _TOKENIZERS[path] = (tokenizer, {}, marks)
     return _TOKENIZERS[path]
 
 
+def encode_units(tokenizer, marks: list[tuple[str, int]], units: list[str], kind: str) -> list[bytes]:
+    """The packed ids of each unit. A special token parts texts for the tokenizer, so many units are encoded as one text
+    with it between them; units that hold one themselves are encoded alone."""
+    out: list[bytes | None] = [None] * len(units)
+    rest = list(range(len(units)))
+    if marks:
+        mark, number = marks[0]
+        alone = [i for i in rest if "<" in units[i] and any(m in units[i] for m, _ in marks)]
+        odd = set(alone)
+        joined = [i for i in rest if i not in odd] if odd else rest
+        for at in range(0, len(joined), 2_000):
+            some = joined[at : at + 2_000]
+            found = np.array(tokenizer.encode(mark.join([units[i] for i in some]), add_special_tokens=False).ids, dtype=kind)
+            ends = [*np.flatnonzero(found == number).tolist(), len(found)]
+            packed, width, start = found.tobytes(), found.itemsize, 0
+            for i, end in zip(some, ends, strict=True):
+                out[i] = packed[start * width : end * width]
+                start = end + 1
+        rest = alone
+    for i in rest:
+        out[i] = np.array(tokenizer.encode(units[i], add_special_tokens=False).ids, dtype=kind).tobytes()
+    return out
+
+
 def width_of(path: str) -> int:
     """Bytes of an id: 2 where the vocabulary fits, else 4."""
     return 2 if _tokenizer(path)[0].get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
@@ -50,7 +76,7 @@ def width_of(path: str) -> int:
 
 def encode_block(path: str, texts: list[bytes], end: int, width: int) -> list[bytes]:
     """The packed ids of each text and the end id. White space is no token and parts all others, so units are encoded once each."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, known, marks = _tokenizer(path)
     if len(known) > MEMORY:
         known.clear()
     kind = f"<u{width}"
@@ -62,8 +88,8 @@ def encode_block(path: str, texts: list[bytes], end: int, width: int) -> list[by
     passing = {}
     for at in range(0, len(fresh), 20_000):
         some = fresh[at : at + 20_000]
-        for unit, found in zip(some, tokenizer.encode_batch([x.decode() for x in some], add_special_tokens=False), strict=True):
-            (known if len(unit) <= LONGEST else passing)[unit] = np.array(found.ids, dtype=kind).tobytes()
+        for unit, ids in zip(some, encode_units(tokenizer, marks, [x.decode() for x in some], kind), strict=True):
+            (known if len(unit) <= LONGEST else passing)[unit] = ids
     last = np.array([end], dtype=kind).tobytes()
     if passing:
         find = lambda x: known[x] if x in known else passing[x]
