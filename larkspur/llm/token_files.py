@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ from larkspur.llm.blocks import byte_blocks
 from larkspur.llm.common import key_bounds, range_of, shared_dir, shuffle_partitions
 
 #: Units of text between white space whose ids a task remembers, and the longest such unit in bytes.
-MEMORY, LONGEST = 400_000, 64
+MEMORY, LONGEST = 600_000, 64
+#: Marks at the end of a word.
+MARKS = b".,;:!?"
 #: Bytes of ids that the reader hands on at once.
 READ_BYTES = 4_000_000
 
@@ -39,34 +42,31 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        marks = [(t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
-        _TOKENIZERS[path] = (tokenizer, {}, marks)
+        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
     return _TOKENIZERS[path]
 
 
-def encode_units(tokenizer, marks: list[tuple[str, int]], units: list[str], kind: str) -> list[bytes]:
-    """The packed ids of each unit. A special token parts texts for the tokenizer, so many units are encoded as one text
-    with it between them; units that hold one themselves are encoded alone."""
-    out: list[bytes | None] = [None] * len(units)
-    rest = list(range(len(units)))
-    if marks:
-        mark, number = marks[0]
-        alone = [i for i in rest if "<" in units[i] and any(m in units[i] for m, _ in marks)]
-        odd = set(alone)
-        joined = [i for i in rest if i not in odd] if odd else rest
-        for at in range(0, len(joined), 2_000):
-            some = joined[at : at + 2_000]
-            found = np.array(tokenizer.encode(mark.join([units[i] for i in some]), add_special_tokens=False).ids, dtype=kind)
-            ends = [*np.flatnonzero(found == number).tolist(), len(found)]
-            packed, width, start = found.tobytes(), found.itemsize, 0
-            for i, end in zip(some, ends, strict=True):
-                out[i] = packed[start * width : end * width]
-                start = end + 1
-        rest = alone
-    for i in rest:
-        out[i] = np.array(tokenizer.encode(units[i], add_special_tokens=False).ids, dtype=kind).tobytes()
-    return out
+def parted(unit: bytes) -> tuple[bytes, bytes]:
+    """What a unit is encoded as: letters and the marks after them, which the tokenizer parts as well; else it stays whole.
+
+    A-Z are lower-cased where nothing else is in the unit that upper and lower case could treat differently.
+    """
+    lower = unit.lower() if unit.isascii() and b"<|" not in unit else unit
+    core = lower.rstrip(MARKS)
+    return (core, lower[len(core) :]) if len(core) < len(lower) and core and core.decode().isalpha() else (lower, b"")
+
+
+def learned(tokenizer, known: dict[bytes, bytes], units: list[bytes], kind: str) -> None:
+    """Adds the packed ids of each unit to what is known."""
+    halves = [parted(x) for x in units]
+    fresh = list({x for pair in halves for x in pair if x and x not in known})
+    for at in range(0, len(fresh), 20_000):
+        some = fresh[at : at + 20_000]
+        for piece, found in zip(some, tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
+            known[piece] = array(kind, found.ids).tobytes()
+    for unit, (core, tail) in zip(units, halves, strict=True):
+        if unit not in known:
+            known[unit] = known[core] + known[tail] if tail else known[core]
 
 
 def width_of(path: str) -> int:
@@ -76,25 +76,21 @@ def width_of(path: str) -> int:
 
 def encode_block(path: str, texts: list[bytes], end: int, width: int) -> list[bytes]:
     """The packed ids of each text and the end id. White space is no token and parts all others, so units are encoded once each."""
-    tokenizer, known, marks = _tokenizer(path)
+    tokenizer, known = _tokenizer(path)
     if len(known) > MEMORY:
         known.clear()
-    kind = f"<u{width}"
     cut = [x.split() for x in texts]
     fresh = set()
     for units in cut:
         fresh.update(units)
-    fresh = [x for x in fresh if x not in known]
-    passing = {}
-    for at in range(0, len(fresh), 20_000):
-        some = fresh[at : at + 20_000]
-        for unit, ids in zip(some, encode_units(tokenizer, marks, [x.decode() for x in some], kind), strict=True):
-            (known if len(unit) <= LONGEST else passing)[unit] = ids
-    last = np.array([end], dtype=kind).tobytes()
-    if passing:
-        find = lambda x: known[x] if x in known else passing[x]
-        return [b"".join([*map(find, units), last]) for units in cut]
-    return [b"".join(map(known.__getitem__, units)) + last for units in cut]
+    kind = "H" if width == 2 else "I"
+    learned(tokenizer, known, [x for x in fresh if x not in known], kind)
+    last = array(kind, [end]).tobytes()
+    out = [b"".join(map(known.__getitem__, units)) + last for units in cut]
+    for unit in fresh:
+        if len(unit) > LONGEST:
+            known.pop(unit, None)
+    return out
 
 
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
