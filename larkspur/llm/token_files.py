@@ -33,16 +33,16 @@ MARKS = b".,;:!?"
 #: Bytes of ids that the reader hands on at once.
 READ_BYTES = 4_000_000
 
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, list] = {}
 
 
 def _tokenizer(path: str):
-    """One tokenizer and one memory of units for each worker process."""
+    """One tokenizer, and a younger and an older memory of units, for each worker process."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        _TOKENIZERS[path] = [Tokenizer.from_file(path), {}, {}]
     return _TOKENIZERS[path]
 
 
@@ -76,15 +76,18 @@ def width_of(path: str) -> int:
 
 def encode_block(path: str, texts: list[bytes], end: int, width: int) -> list[bytes]:
     """The packed ids of each text and the end id. White space is no token and parts all others, so units are encoded once each."""
-    tokenizer, known = _tokenizer(path)
-    if len(known) > MEMORY:
-        known.clear()
+    tools = _tokenizer(path)
+    if len(tools[1]) > MEMORY:  # what is used again comes back from the older memory, the rest is forgotten
+        tools[1:] = {}, tools[1]
+    tokenizer, known, older = tools
     cut = [x.split() for x in texts]
     fresh = set()
     for units in cut:
         fresh.update(units)
     kind = "H" if width == 2 else "I"
-    learned(tokenizer, known, [x for x in fresh if x not in known], kind)
+    new = [x for x in fresh if x not in known]
+    known.update((x, older[x]) for x in new if x in older)
+    learned(tokenizer, known, [x for x in new if x not in older], kind)
     last = array(kind, [end]).tobytes()
     out = [b"".join(map(known.__getitem__, units)) + last for units in cut]
     for unit in fresh:
