@@ -11,8 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +20,10 @@ from pyspark.sql import types as T
 
 from larkspur.llm.blocks import text_blocks, with_column
 
-#: Units of text (a word with what clings to it) whose ids a task remembers, and characters of the longest such unit.
-MEMORY, LONGEST = 250_000, 64
-#: Pairs whose merged rank is remembered.
-PAIR_MEMORY = 1_000_000
+#: Units of text (a word with what clings to it), and pieces, whose ids a task remembers; characters of the longest such one.
+MEMORY, LONGEST = 600_000, 64
+#: Bits of a token's id in a pair's key.
+BITS = 32
 #: A blank between two other characters always starts a piece, whatever surrounds the two.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Blanks for which that doesn't hold.
@@ -42,49 +41,39 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def merged(self, left: int, right: int) -> int:
-        """The rank of two tokens' union, or -1."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= PAIR_MEMORY:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return found
-
-    def encode(self, pieces: list[bytes]) -> list[array]:
-        """The ids of each piece. A piece that is a token as a whole keeps its own id."""
-        out: list[array | None] = []
-        ids: list[int] = []  # the tokens of all other pieces, side by side
-        after: list[int] = []  # the next live position, -1 at a piece's end
-        before: list[int] = []
-        starts: list[tuple[int, int]] = []
-        for k, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
-            if whole is not None or not piece:
-                out.append(array("i", () if whole is None else (whole,)))
-                continue
-            out.append(None)
-            first, n = len(ids), len(piece)
-            starts.append((k, first))
-            ids.extend([self.byte_ids[b] for b in piece])
-            after.extend(range(first + 1, first + n))
-            after.append(-1)
-            before.append(-1)
-            before.extend(range(first, first + n - 1))
-        index: dict[int, list[int]] = {}  # from a pair, by what it merges to, to the positions of its left token
-        merged = self.merged
-        for at, then in enumerate(after):
-            if then >= 0 and (rank := merged(ids[at], ids[then])) >= 0:
-                if rank in index:
-                    index[rank].append(at)
-                else:
-                    index[rank] = [at]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
+        #: From a pair of tokens, as left << BITS | right, to the rank of their union.
+        self.pairs = {ranks[t[:i]] << BITS | ranks[t[i:]]: rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as packed 32-bit integers. A piece that is a token as a whole keeps its own id."""
+        whole = [self.ranks.get(x) for x in pieces]
+        merged = iter(self.merged([x for x, w in zip(pieces, whole, strict=True) if w is None]))
+        return [next(merged) if w is None else w.to_bytes(4, "little") for w in whole]
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids that are left of each piece after all merges."""
+        ends = np.cumsum([len(x) for x in pieces], dtype=np.int64)
+        text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        if not len(text):
+            return [b""] * len(pieces)
+        ids = self.byte_ids[text].tolist()  # the tokens of all pieces, side by side; -1 where one has gone into its left neighbour
+        last = ends[np.diff(ends, prepend=0) > 0]
+        at = np.arange(len(text))
+        then, back = at + 1, at - 1
+        then[last - 1] = -1
+        back[last[:-1]] = back[0] = -1
+        after, before = then.tolist(), back.tolist()  # the live neighbours, -1 at a piece's ends
+        ranks = np.where(then >= 0, self.byte_pairs[text, np.append(text[1:], 0)], -1)
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        cuts = np.flatnonzero(np.diff(ranks[order], prepend=-1))
+        #: From a pair, by what it merges to, to the positions of its left token.
+        index = {int(ranks[places[0]]): places.tolist() for places in np.split(order, cuts)[1:]}
         heap = list(index)
         heapq.heapify(heap)
+        get = self.pairs.get
         while heap:
             rank = heapq.heappop(heap)
             places = index.pop(rank, None)
@@ -93,42 +82,44 @@ class MergeReplay:
             places.sort()
             for done, at in enumerate(places):
                 left = ids[at]
-                if left < 0 or (then := after[at]) < 0 or merged(left, ids[then]) != rank:
+                if left < 0 or (then := after[at]) < 0 or get(left << BITS | ids[then]) != rank:
                     continue  # a neighbour has changed since
                 ids[at], ids[then] = rank, -1
                 after[at] = beyond = after[then]
                 lower = False
                 if beyond >= 0:
                     before[beyond] = at
-                    if (new := merged(rank, ids[beyond])) >= 0:
-                        lower |= new < rank
+                    new = get(rank << BITS | ids[beyond])
+                    if new is not None:
+                        lower = new < rank
                         if new in index:
                             index[new].append(at)
                         else:
                             index[new] = [at]
                             heapq.heappush(heap, new)
-                if (back := before[at]) >= 0 and (new := merged(ids[back], rank)) >= 0:
-                    lower |= new < rank
-                    if new in index:
-                        index[new].append(back)
-                    else:
-                        index[new] = [back]
-                        heapq.heappush(heap, new)
+                back = before[at]
+                if back >= 0:
+                    new = get(ids[back] << BITS | rank)
+                    if new is not None:
+                        lower |= new < rank
+                        if new in index:
+                            index[new].append(back)
+                        else:
+                            index[new] = [back]
+                            heapq.heappush(heap, new)
                 if lower and done + 1 < len(places):  # the lower rank goes first, then the rest of this one
                     index.setdefault(rank, []).extend(places[done + 1 :])
                     heapq.heappush(heap, rank)
                     break
-        for k, at in starts:
-            piece = array("i")
-            while at >= 0:
-                piece.append(ids[at])
-                at = after[at]
-            out[k] = piece
-        return out
+        left = np.array(ids, dtype=np.int32)
+        live = left >= 0
+        bounds = np.concatenate([[0], np.cumsum(live)])[np.concatenate([[0], ends])] * 4
+        packed, bounds = left[live].tobytes(), bounds.tolist()
+        return [packed[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 class BlockEncoder:
-    """Encodes blocks of texts; remembers the ids of short units from block to block."""
+    """Encodes blocks of texts; remembers the ids of units and pieces from block to block."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -136,6 +127,7 @@ class BlockEncoder:
         self.replay = MergeReplay(read_ranks(path))
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def units(self, text: str) -> list[str]:
         """The text, cut only where a piece is sure to start; each unit but the first has lost the blank before it."""
@@ -144,35 +136,36 @@ class BlockEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as packed 32-bit integers."""
         cut = [self.units(x) for x in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
         firsts = self.learned({u[0] for u in cut}, "")
-        known = self.known
         fresh = set()
         for u in cut:
             fresh.update(u[1:])
-        new = [x for x in fresh if x not in known]
-        passing = self.learned(new, " ")
-        for unit, ids in passing.items():
-            if len(unit) <= LONGEST:
-                known[unit] = ids
-        out = []
-        for u in cut:
-            ids = [firsts[u[0]]]
-            try:
-                ids += map(known.__getitem__, u[1:]) if len(u) > 1 else ()
-            except KeyError:
-                ids[1:] = [known[x] if x in known else passing[x] for x in u[1:]]
-            out.append(b"".join(ids))
+        known = self.known
+        known.update(self.learned([x for x in fresh if x not in known], " "))
+        out = [b"".join([firsts[u[0]], *map(known.__getitem__, u[1:])]) for u in cut]
+        self.known = kept(known, fresh)
         return out
 
-    def learned(self, units, lead: str) -> dict[str, bytes]:
+    def learned(self, units: Collection[str], lead: str) -> dict[str, bytes]:
         """The ids of units, each with the lead before it."""
-        units = list(units)
         cut = [self.pattern.findall(lead + x) for x in units]
-        words = list({w for pieces in cut for w in pieces})
-        ids = dict(zip(words, (x.tobytes() for x in self.replay.encode([w.encode() for w in words])), strict=True))
-        return {x: b"".join([ids[w] for w in pieces]) for x, pieces in zip(units, cut, strict=True)}
+        found = {w for pieces in cut for w in pieces}
+        known = self.pieces
+        new = [w for w in found if w not in known]
+        known.update(zip(new, self.replay.encode([w.encode() for w in new]), strict=True))
+        out = {x: known[pieces[0]] if len(pieces) == 1 else b"".join([known[w] for w in pieces]) for x, pieces in zip(units, cut, strict=True)}
+        self.pieces = kept(known, found)
+        return out
+
+
+def kept(known: dict[str, bytes], present: set[str]) -> dict[str, bytes]:
+    """What is remembered after a block: everything short, or, of too much, the short that stood in this block."""
+    if len(known) > MEMORY:
+        return {x: known[x] for x in present if len(x) <= LONGEST}
+    for x in present:
+        if len(x) > LONGEST:
+            del known[x]
+    return known
 
 
 _ENCODERS: dict[tuple[str, str], BlockEncoder] = {}
