@@ -21,13 +21,15 @@ from pyspark.sql import types as T
 from larkspur.llm.blocks import text_blocks, with_column
 
 #: Units of text (a word with what clings to it), and pieces, whose ids a task remembers; characters of the longest such one.
-MEMORY, LONGEST = 600_000, 64
+MEMORY, LONGEST = 400_000, 64
+#: Characters of text that are encoded at once.
+BLOCK = 2_000_000
 #: Bits of a token's id in a pair's key.
 BITS = 32
 #: A blank between two other characters always starts a piece, whatever surrounds the two.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Blanks for which that doesn't hold.
-ODD_BLANK = re.compile(r"\s | \s|^ | $")
+ODD_BLANK = re.compile(r" (?:(?!\S)|(?<!\S ))")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -189,7 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
-        for rows, texts in text_blocks(batches, column):
+        for rows, texts in text_blocks(batches, column, BLOCK):
             packed = encoder.encode(texts)
             offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
             values = np.frombuffer(b"".join(packed), dtype=np.int32)
