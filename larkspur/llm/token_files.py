@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -49,11 +50,21 @@ def _tokenizer(path: str):
 def parted(unit: bytes) -> tuple[bytes, bytes]:
     """What a unit is encoded as: letters and the marks after them, which the tokenizer parts as well; else it stays whole.
 
-    A-Z are lower-cased where nothing else is in the unit that upper and lower case could treat differently.
+    A-Z are lower-cased where nothing else is in the unit that upper and lower case could treat differently. The tokenizer
+    composes and lower-cases first, which turns some letters into a letter and a combining mark; that one is no letter and
+    forms a piece with the marks after it, so such a unit stays whole.
     """
     lower = unit.lower() if unit.isascii() and b"<|" not in unit else unit
     core = lower.rstrip(MARKS)
-    return (core, lower[len(core) :]) if len(core) < len(lower) and core and core.decode().isalpha() else (lower, b"")
+    return (core, lower[len(core) :]) if len(core) < len(lower) and core and all_letters(core) else (lower, b"")
+
+
+def all_letters(core: bytes) -> bool:
+    """Whether a word is letters alone before and after what the tokenizer does to it."""
+    if core.isascii():
+        return core.isalpha()
+    word = core.decode()
+    return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
 
 
 def learned(tokenizer, known: dict[bytes, bytes], units: list[bytes], kind: str) -> None:

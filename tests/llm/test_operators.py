@@ -168,6 +168,20 @@ def test_token_files(docs, rows, empty):
     assert token_files.round_trip(empty, WORDS).count() == 0
 
 
+def test_token_files_marks_after_letters_that_come_apart():
+    """Every letter before a mark, also those that the tokenizer turns into a letter and a combining mark."""
+    import sys
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    units = ["YENİ,", "হয়,", "\u0958!", "\ufb2a.", "\u0b5c,", "été,", "Straße;"] + [chr(i) + "," for i in range(sys.maxunicode + 1) if chr(i).isalpha()]
+    want = [array("H", [*x.ids, 2]).tobytes() for x in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    got = token_files.encode_block(WORDS, [x.encode() for x in units], 2, 2)
+    assert [u for u, g, w in zip(units, got, want, strict=True) if g != w] == []
+
+
 def brute_components(rows, width):
     lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
     sets = []
