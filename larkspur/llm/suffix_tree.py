@@ -1,21 +1,26 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-A state is a context of up to DEPTH words that has at least the probability MIN_STATE and whose next-symbol distribution
-diverges from that of its suffix: the likelihood gained on the corpus by keeping it must reach MIN_GAIN. A state's
-distribution lists the next symbols of at least the joint probability MIN_ENTRY, discounted; the mass that is left goes to
-the distribution of its suffix, down to the smoothed counts of single words. A token is scored by the longest suffix of
-the words before it that is a state.
-
-The thresholds are probabilities, so the tree has at most 1/MIN_STATE states and 1/MIN_ENTRY entries a level, and at most
-1/MIN_WORD words are numbered, whatever the size of the corpus: that much is broadcast. All other words' counts stay in a table of
-any size, and documents are joined with it.
+A state is a context of up to DEPTH words that occurs at least MIN_COUNT times and whose next-symbol distribution diverges
+from that of its suffix: the likelihood gained on the corpus by keeping it must reach MIN_GAIN. A state's distribution lists
+the next symbols seen at least MIN_COUNT times, discounted; the mass that is left goes to the distribution of its suffix,
+down to the smoothed counts of single words. A token is scored by the longest suffix of the words before it that is a state.
+
+These are counts, not shares: the tree grows with the corpus. It is built by joins and kept in tables. A token's log10 share is a
+sum over the grams (runs of words) that end at it: a gram adds what it changes as an entry of its context, and what its own
+context leaves where it is a state. So a document's score is a sum over its grams, joined with one table. The most frequent grams
+(at most 1/MIN_ENTRY a level, 1/MIN_WORD words) are also broadcast as the head, and don't take part in that join: it has no hot keys.
+
+In tables a gram is the 64-bit hashes of its words, and in the last join a 64-bit hash of those. Bitmaps of BITMAP bits keep most grams
+that cannot matter out of the shuffles; where a bitmap fills up, only time is lost.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +30,20 @@ from pyspark.sql import functions as F
 from larkspur.llm.blocks import byte_blocks
 from larkspur.llm.common import fold, split_lower, written
 
-DEPTH = 2
-MIN_WORD, MIN_STATE, MIN_ENTRY = 5e-7, 2e-5, 1e-6
+DEPTH = 3
+#: Occurrences that a state, and a listed symbol in it, must have.
+MIN_COUNT = 2
+#: Shares of the corpus from which a word is numbered and a gram belongs to the head.
+MIN_WORD, MIN_ENTRY = 5e-7, 1e-6
 #: Nats that a state must gain over its suffix, and what each listed symbol's count is lowered by.
 MIN_GAIN, DISCOUNT = 20.0, 0.75
 ADD = 0.1
 #: Rows with this remainder of crc32(key as text) are held out.
 FOLDS, HELD = 10, 0
-#: Bits of a word's number in a code; 1 / MIN_WORD numbers and two more fit, and so do three words in 63 bits.
+#: Bits of a word's number in a code; 1 / MIN_WORD numbers and two more fit, and so do DEPTH words in 63 bits.
 BITS = 21
+#: Bits of a bitmap, and of the pieces it is put together from.
+BITMAP, PIECE = 1 << 27, 1 << 15
 RARE, END = 0, 1
 #: Distinct words or codes that a task counts before it hands them on.
 HELD_COUNTS = 300_000
@@ -43,12 +53,21 @@ BLOCK = 2_000_000
 
 @dataclass
 class Level:
-    """States of one depth: sorted codes, log10 of the mass left to the suffix; entries: sorted codes, log10 probability."""
+    """The head of one depth.
 
-    states: np.ndarray
+    contexts: sorted codes; left: log10 of the mass left to the suffix, 0 where the context is no state; grams: sorted
+    (place of the context << BITS | next number); shifts: what the gram adds to the log10 share, 0 outside states.
+    """
+
+    contexts: np.ndarray
     left: np.ndarray
-    entries: np.ndarray
-    logs: np.ndarray
+    kept: np.ndarray
+    grams: np.ndarray
+    shifts: np.ndarray
+
+    @property
+    def states(self) -> np.ndarray:
+        return self.contexts[self.kept]
 
 
 @dataclass
@@ -58,7 +77,9 @@ class Tree:
     known: np.ndarray
     train_tokens: int
     distinct: int
+    hashes: np.ndarray  # of each numbered word and of the end
     levels: list[Level] = field(default_factory=list)
+    shifts: DataFrame | None = None  # g (one number for a gram), shift: the whole tree
 
 
 def training(docs: DataFrame, key: str) -> DataFrame:
@@ -132,89 +153,156 @@ def contexts(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     return np.where(whole, code, -1)
 
 
-def continuations(docs: DataFrame, tree, candidates, depth: int, text: str = "text") -> DataFrame:
-    """code (context and next numbered token), n over all rows, for contexts among the candidates."""
+class Hashes(dict):
+    """64-bit hash of each word, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > HELD_COUNTS:
+            self.clear()
+        found = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return found
+
+
+#: No word is empty, so this stands for the end of a text.
+END_HASH = Hashes()[b""]
+
+
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """One number for each gram, from the hashes of its words."""
+    out = np.full(len(columns[0]), len(columns), dtype=np.uint64)
+    for c in columns:
+        out = (out ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def at_bit(codes: np.ndarray) -> np.ndarray:
+    return (codes.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (BITMAP - 1)
+
+
+def has_bit(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    at = at_bit(codes)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def bitmap(codes: DataFrame) -> np.ndarray:
+    """BITMAP bits with those of the column `g` (long) set, packed by the executors."""
+
+    def bit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(at_bit(np.asarray(batch.column("g")))))], names=["at"])
+
+    def packed(group: pa.Table) -> pa.Table:
+        at = np.asarray(group.column("at"))
+        bits = np.zeros(PIECE, dtype=np.uint8)
+        bits[at % PIECE] = 1
+        return pa.table({"piece": pa.array([int(at[0]) // PIECE]), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    bits = np.zeros((BITMAP // PIECE, PIECE // 8), dtype=np.uint8)
+    pieces = codes.mapInArrow(bit, "at long").distinct().groupBy(F.floor(F.col("at") / PIECE).alias("piece")).applyInArrow(packed, "piece long, bits binary")
+    for r in pieces.toLocalIterator():
+        bits[r["piece"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return bits.reshape(-1)
+
+
+def hashes_of(grams: pa.Array, n: int) -> list[np.ndarray]:
+    """The hashes of the n words of each gram of a binary column."""
+    flat = np.frombuffer(b"".join(grams.to_pylist()), dtype=np.int64).reshape(-1, n)
+    return [np.ascontiguousarray(flat[:, i]) for i in range(n)]
+
+
+def with_code(grams: DataFrame, n: int, column: str = "g", kept: tuple[str, ...] = ()) -> DataFrame:
+    """g as one number for each gram of n words in the column, and the columns (double) to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, wanted = tree.value, candidates.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(hashes_of(batch.column(column), n))), *(batch.column(c) for c in kept)], names=["g", *kept])
 
-        def handed() -> pa.RecordBatch:
-            codes, counts = np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held])
-            codes, at = np.unique(codes, return_inverse=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.bincount(at, counts, len(codes)).astype(np.int64))], names=["code", "n"])
+    return grams.select(column, *kept).mapInArrow(run, ", ".join(["g long", *(f"{c} double" for c in kept)]))
 
-        for _, texts in byte_blocks(batches, "text", BLOCK):
-            ids, starts, _ = numbered(model, texts)
-            before = contexts(ids, starts, depth)
-            use = (ids != RARE) & (before >= 0)
-            use[use] = found_at(wanted, before[use]) >= 0
-            codes, counts = np.unique((before[use] << BITS) | ids[use], return_counts=True)
-            if len(codes):
-                held.append((codes, counts))
-                size += len(codes)
-            if size > 4 * HELD_COUNTS:
-                yield handed()
-                size = 0
-        if held:
-            yield handed()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def gram_counts(docs: DataFrame, depth: int, wanted: np.ndarray, text: str = "text") -> DataFrame:
+    """g (hashes of `depth` words and the next symbol, binary), n over all rows, for contexts whose bit is set."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    width = 8 * (depth + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, memory = shared.value, Hashes()
+        for _, texts in byte_blocks(batches, "text", BLOCK):
+            flat: list[int] = []
+            sizes = []
+            for x in texts:
+                words = split_lower(x)
+                flat.extend([memory[w] for w in words])
+                flat.append(END_HASH)
+                sizes.append(len(words) + 1)
+            hashes, place = np.array(flat, dtype=np.int64), places(np.array(sizes))
+            use = np.flatnonzero(place >= depth)
+            use = use[has_bit(bits, mixed([hashes[use - by] for by in range(depth, 0, -1)]))]
+            columns = [hashes[use - by] for by in range(depth, -1, -1)]
+            _, first, counts = np.unique(mixed(columns), return_index=True, return_counts=True)
+            if not len(first):
+                continue
+            data = np.stack([c[first] for c in columns], axis=1).tobytes()
+            offsets = pa.py_buffer(np.arange(0, len(data) + 1, width, dtype=np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(data)]), pa.array(counts.astype(np.int64))], names=["g", "n"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "g binary, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """How many tokens of its text stand before each token."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def head_share(tree: Tree, depth: int, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """log10 share by the head, and for each depth from 1 whether the head has the gram that ends at the token."""
+    total = tree.logs[ids]
+    settled = []
+    for d in range(1, depth + 1):
+        level = tree.levels[d - 1]
+        at = found_at(level.contexts, before[d - 1])
+        inside = at >= 0
+        total[inside] += level.left[at[inside]]
+        gram = np.full(len(ids), -1, dtype=np.int64)
+        numbered_here = inside & (ids != RARE)
+        gram[numbered_here] = found_at(level.grams, (at[numbered_here] << BITS) | ids[numbered_here])
+        listed = gram >= 0
+        total[listed] += level.shifts[gram[listed]]
+        settled.append(listed)
+    return total, settled
 
 
 def log_share(tree: Tree, depth: int, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """log10 P(token | longest state among the last `depth` words); RARE tokens: without their own share, which is joined later.
+    """log10 P(token | longest state of the head among the last `depth` words); RARE tokens: without their own share.
 
     before: a row of context codes for each depth from 1, -1 for none.
     """
-    total = np.zeros(len(ids))
-    todo = np.arange(len(ids))
-    for d in range(depth, 0, -1):
-        level = tree.levels[d - 1]
-        state = found_at(level.states, before[d - 1][todo])
-        inside = state >= 0
-        entry = np.full(len(todo), -1, dtype=np.int64)
-        numbered_here = inside & (ids[todo] != RARE)
-        entry[numbered_here] = found_at(level.entries, (before[d - 1][todo[numbered_here]] << BITS) | ids[todo[numbered_here]])
-        listed = entry >= 0
-        total[todo[listed]] += level.logs[entry[listed]]
-        falls = inside & ~listed
-        total[todo[falls]] += level.left[state[falls]]
-        todo = todo[~listed]
-    total[todo] += tree.logs[ids[todo]]
-    return total
-
-
-def grown(tree: Tree, depth: int, codes: np.ndarray, counts: np.ndarray, contexts_: np.ndarray, context_counts: np.ndarray) -> Level:
-    """The states of one depth and their distributions, from the counts of listed continuations."""
-    order = np.argsort(codes)
-    codes, counts = codes[order], counts[order].astype(float)
-    context, symbol = codes >> BITS, codes & ((1 << BITS) - 1)
-    total = context_counts[found_at(contexts_, context)].astype(float)
-    size = len(contexts_)
-    at = found_at(contexts_, context)
-    taken = np.bincount(at, counts - DISCOUNT, size)
-    listed = np.bincount(at, counts, size)
-    whole = context_counts.astype(float)
-    left = np.clip(1 - taken / whole, 1e-9, 1.0)
-    # a suffix of a context drops its first word
-    suffixes = [(context & ((1 << (BITS * d)) - 1)) for d in range(1, depth)]
-    lower = log_share(tree, depth - 1, np.array(suffixes) if suffixes else np.empty((0, len(codes))), symbol)
-    share = (counts - DISCOUNT) / total + left[at] * 10.0**lower
-    gain = np.bincount(at, counts * (np.log(share) - lower * np.log(10)), size) + (whole - listed) * np.log(left)
-    keep = gain >= MIN_GAIN
-    return Level(contexts_[keep], np.log10(left[keep]), codes[keep[at]], np.log10(share[keep[at]]))
-
-
-def _arrays(table: DataFrame, bound: float, *columns: str) -> list[np.ndarray]:
-    """Rows of a table that its thresholds bound, sorted by the first column."""
-    rows = table.select(*columns).limit(int(bound) + 1).toPandas()
-    if len(rows) > bound:
-        raise RuntimeError(f"{len(rows)} rows, more than the {bound:.0f} that the threshold allows")
-    rows = rows.sort_values(columns[0])
-    return [rows[c].to_numpy() for c in columns]
+    return head_share(tree, depth, before, ids)[0]
+
+
+def _head(tree: Tree, depth: int, frequent: DataFrame, states: DataFrame) -> Level:
+    """The head of one depth, from tables that their thresholds bound: g, shift and ctx, left."""
+    order = np.argsort(tree.hashes[1:], kind="stable")
+    ranked = tree.hashes[1:][order]
+
+    def numbers(grams: list, n: int) -> list[np.ndarray]:
+        return [order[np.searchsorted(ranked, c)] + 1 for c in hashes_of(pa.array(grams, pa.binary()), n)]
+
+    def code(columns: list[np.ndarray]) -> np.ndarray:
+        return reduce(lambda x, y: (x << BITS) | y, columns)
+
+    rows, kept = frequent.toPandas(), states.toPandas()
+    columns = numbers(list(rows["g"]), depth + 1)
+    before, own = code(columns[:-1]), numbers(list(kept["ctx"]), depth)
+    own_codes = code(own)
+    contexts_ = np.unique(np.concatenate([before, own_codes]))
+    left, is_state = np.zeros(len(contexts_)), np.zeros(len(contexts_), dtype=bool)
+    at = found_at(contexts_, own_codes)
+    left[at], is_state[at] = kept["left"].to_numpy(), True
+    grams = (found_at(contexts_, before) << BITS) | columns[-1]
+    by = np.argsort(grams)
+    return Level(contexts_, left, is_state, grams[by], rows["shift"].to_numpy(dtype=float)[by])
 
 
 def fit(docs: DataFrame, counts: DataFrame, text: str = "text") -> Tree:
@@ -223,43 +311,92 @@ def fit(docs: DataFrame, counts: DataFrame, text: str = "text") -> Tree:
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word").isNull(), F.col("n"))).alias("ends")).first()
     n, ends = sums["n"] or 0, sums["ends"] or 0
     distinct = sums["v"] if ends else 0
-    frequent = counts.filter(F.col("word").isNotNull() & (F.col("n") >= max(1.0, MIN_WORD * n)))
+    least_word, least = max(1.0, MIN_WORD * n), max(float(MIN_COUNT), MIN_ENTRY * n)
+    frequent = counts.filter(F.col("word").isNotNull() & (F.col("n") >= least_word))
     pairs = sorted(((bytes(r["word"]), r["n"]) for r in frequent.limit(int(1 / MIN_WORD) + 1).toLocalIterator()), key=lambda x: (-x[1], x[0]))
     c = np.array([0, ends, *(k for _, k in pairs)], dtype=float)
     logs = np.log10((c + ADD) / (n + ADD * (distinct + 1)))
     logs[RARE] = 0.0
-    tree = Tree({w: i + 2 for i, (w, _) in enumerate(pairs)}, logs, c > 0, n, distinct)
-    states = np.flatnonzero(c >= max(2.0, MIN_STATE * n))
-    states = states[states >= 2]
-    wanted, wanted_counts = states.astype(np.int64), c[states].astype(np.int64)
+    memory = Hashes()
+    hashes = np.array([0, END_HASH, *(memory[w] for w, _ in pairs)], dtype=np.int64)
+    tree = Tree({w: i + 2 for i, (w, _) in enumerate(pairs)}, logs, c > 0, n, distinct, hashes)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Hashes()
+        for batch in batches:
+            grams = [memory[w or b""].to_bytes(8, "little", signed=True) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), batch.column("n")], names=["g", "n"])
+
+    share = F.log10((F.col("n") + F.lit(ADD)) / F.lit(n + ADD * (distinct + 1)))
+    lower = written(counts.filter(F.col("n") >= MIN_COUNT).select("word", "n").mapInArrow(hashed, "g binary, n long").select("g", "n", share.alias("s")), "grams-1")
+    shifts = []
     for depth in range(1, DEPTH + 1):
-        if not len(wanted):
-            tree.levels.append(Level(*(np.empty(0, k) for k in (np.int64, float, np.int64, float))))
-            continue
-        model, candidates = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(wanted)
-        listed = continuations(docs, model, candidates, depth, text).filter(F.col("n") >= max(2.0, MIN_ENTRY * n))
-        codes, k = _arrays(listed, 1 / MIN_ENTRY, "code", "n")
-        model.unpersist()
-        candidates.unpersist()
-        tree.levels.append(grown(tree, depth, codes, k, wanted, wanted_counts))
-        # the next depth's contexts: states' continuations that are frequent enough and end in a word
-        deeper = (k >= max(2.0, MIN_STATE * n)) & ((codes & ((1 << BITS) - 1)) >= 2)
-        wanted, wanted_counts = codes[deeper], k[deeper]
+        ended = F.substring("g", 8 * depth - 7, 8) == F.lit(END_HASH.to_bytes(8, "little", signed=True))
+        own = lower.filter(~ended)
+        wanted = bitmap(with_code(own, depth))
+        listed = written(
+            gram_counts(docs, depth, wanted, text)
+            .filter(F.col("n") >= MIN_COUNT)
+            .select("g", "n", F.substring("g", 1, 8 * depth).alias("ctx"), F.substring("g", 9, 8 * depth).alias("suf")),
+            f"listed-{depth + 1}",
+        )
+        totals = listed.groupBy("ctx").agg(F.sum(F.col("n") - DISCOUNT).alias("taken"), F.sum("n").alias("listed"))
+        totals = totals.join(own.select(F.col("g").alias("ctx"), F.col("n").alias("whole")), "ctx")
+        totals = totals.select("ctx", "listed", "whole", F.least(F.lit(1.0), F.greatest(F.lit(1e-9), 1 - F.col("taken") / F.col("whole"))).alias("mass"))
+        seen = listed.join(lower.select(F.col("g").alias("suf"), F.col("s").alias("lower")), "suf").drop("suf").join(totals, "ctx")
+        seen = written(seen.withColumn("share", F.log10((F.col("n") - DISCOUNT) / F.col("whole") + F.col("mass") * F.pow(F.lit(10.0), F.col("lower")))), f"seen-{depth + 1}")
+        gains = seen.groupBy("ctx", "mass", "whole", "listed").agg(F.sum(F.col("n") * (F.col("share") - F.col("lower"))).alias("gain"))
+        gain = F.col("gain") * float(np.log(10)) + (F.col("whole") - F.col("listed")) * F.log("mass")
+        states = written(gains.filter(gain >= MIN_GAIN).select("ctx", "whole", F.log10("mass").alias("left")), f"states-{depth}")
+        inside = F.col("left").isNotNull()
+        now = seen.select("ctx", "g", "n", "share", "lower").join(states.select("ctx", "left"), "ctx", "left")
+        now = now.select("g", "n", F.when(inside, F.col("share")).otherwise(F.col("lower")).alias("s"), F.when(inside, F.col("share") - F.col("left") - F.col("lower")).otherwise(0.0).alias("shift"))
+        now = written(now, f"grams-{depth + 1}")
+        bound = F.col("whole") >= (least_word if depth == 1 else least)
+        tree.levels.append(_head(tree, depth, now.filter(F.col("n") >= least).select("g", "shift"), states.filter(bound).select("ctx", "left")))
+        shifts += [with_code(states.withColumnRenamed("left", "shift"), depth, "ctx", ("shift",)), with_code(now.filter(F.col("shift") != 0), depth + 1, "g", ("shift",))]
+        lower = now.select("g", "n", "s")
+    tree.shifts = written(reduce(DataFrame.unionAll, shifts).groupBy("g").agg(F.sum("shift").alias("shift")), "shifts")
     return tree
 
 
+def open_grams(tree: Tree, ids: np.ndarray, starts: np.ndarray, cut: list[list[bytes]], settled: list[np.ndarray], bits: np.ndarray, memory: Hashes) -> tuple[pa.Array, np.ndarray]:
+    """g, k of each text's grams that the head doesn't have and the tree may have, and where each text's begin."""
+    hashes, place = tree.hashes[ids], places(np.diff(starts))
+    flat = [w for words in cut for w in (*words, b"")]
+    rare = np.flatnonzero(ids == RARE)
+    hashes[rare] = [memory[flat[i]] for i in rare.tolist()]
+    text = np.repeat(np.arange(len(cut)), np.diff(starts))
+    of, codes = [], []
+    for depth in range(DEPTH + 1):
+        at = rare if depth == 0 else np.flatnonzero(~settled[depth - 1] & (place >= depth))
+        code = mixed([hashes[at - by] for by in range(depth, -1, -1)])
+        use = has_bit(bits, code)
+        of.append(text[at[use]])
+        codes.append(code[use])
+    of, codes = np.concatenate(of), np.concatenate(codes)
+    order = np.lexsort((codes, of))
+    of, codes = of[order], codes[order]
+    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (codes[1:] != codes[:-1])])[: len(of)])
+    times = np.diff(np.append(first, len(of))).astype(np.int32)
+    ends = np.searchsorted(of[first], np.arange(len(cut) + 1)).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.array(codes[first]), pa.array(times)], names=["g", "k"]), ends
+
+
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    context, table = docs.sparkSession.sparkContext, tree.shifts
+    shared, bitmap_ = context.broadcast(replace(tree, shifts=None)), context.broadcast(bitmap(table.select("g")))
     floor = float(np.log10(ADD / (tree.train_tokens + ADD * (tree.distinct + 1)))) if tree.train_tokens else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, bits, memory = shared.value, bitmap_.value, Hashes()
         for rows, texts in byte_blocks(batches, "text", BLOCK):
             ids, starts, cut = numbered(model, texts)
             at = starts[:-1]
             before = np.array([contexts(ids, starts, d) for d in range(1, DEPTH + 1)])
-            whole = log_share(model, DEPTH, before, ids)
+            whole, settled = head_share(model, DEPTH, before, ids)
+            grams, grams_ends = open_grams(model, ids, starts, cut, settled, bits, memory)
             rare = [Counter(words[i] for i in np.flatnonzero(ids[a : a + len(words)] == RARE).tolist()) for a, words in zip(at.tolist(), cut, strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype(np.int32)
             items = pa.StructArray.from_arrays([pa.array([w for x in rare for w in x], pa.binary()), pa.array([k for x in rare for k in x.values()], pa.int64())], names=["word", "k"])
@@ -271,11 +408,12 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", t
                     pa.array(np.add.reduceat(model.logs[ids], at)),
                     pa.array(np.add.reduceat(whole, at)),
                     pa.ListArray.from_arrays(pa.array(ends), items),
+                    pa.ListArray.from_arrays(pa.array(grams_ends), grams),
                 ],
-                names=["key", "n_tokens", "n_known", "base", "score", "rare"],
+                names=["key", "n_tokens", "n_known", "base", "score", "rare", "grams"],
             )
 
-    schema = "key string, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,k:long>>"
+    schema = "key string, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,k:long>>, grams array<struct<g:long,k:int>>"
     kind = docs.schema[key].dataType
     plain = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     rows = written(plain.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored-rows")
@@ -284,15 +422,17 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", t
     share = F.log10((F.col("n") + F.lit(ADD)) / F.lit(tree.train_tokens + ADD * (tree.distinct + 1)))
     seen = rare.join(counts.filter(F.col("word").isNotNull()), "word", "left")
     sums = seen.groupBy("row").agg(F.sum(F.col("k") * F.coalesce(share, F.lit(floor))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("found"))
+    open_ = rows.select("row", F.explode("grams").alias("r")).select("row", "r.g", "r.k").join(table, "g")
+    shifted = open_.groupBy("row").agg(F.sum(F.col("k") * F.col("shift")).alias("shifted"))
     more = F.coalesce("more", F.lit(0.0))
-    return rows.drop("rare").join(sums, "row", "left").select(
+    return rows.drop("rare", "grams").join(sums, "row", "left").join(shifted, "row", "left").select(
         F.col("key").cast(kind).alias(key),
         (fold("key", FOLDS) == HELD).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("score") + more + F.coalesce("shifted", F.lit(0.0))).alias("score"),
     )
 
 

@@ -138,6 +138,62 @@ def test_suffix_tree_shares_sum_to_one(docs):
             assert total + unseen == pytest.approx(1.0, abs=0.05)
 
 
+def brute_scores(rows):
+    """The suffix tree's scores by dictionaries over all contexts, with no bound on what is kept."""
+    cut = lambda t: [*(t or "").encode().lower().split(), None]
+    learned = [cut(t) for k, t in rows if zlib.crc32(str(k).encode()) % 10]
+    grams = [Counter(tuple(w[i - d : i + 1]) for w in learned for i in range(d, len(w))) for d in range(suffix_tree.DEPTH + 1)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    states = {}
+
+    def share(context, symbol):
+        if not context:
+            return (grams[0][(symbol,)] + 0.1) / (n + 0.1 * (v + 1))
+        if context not in states:
+            return share(context[1:], symbol)
+        left, listed = states[context]
+        return listed[symbol] if symbol in listed else left * share(context[1:], symbol)
+
+    for d in range(1, suffix_tree.DEPTH + 1):
+        following = {}
+        for g, k in grams[d].items():
+            if k >= 2:
+                following.setdefault(g[:-1], {})[g[-1]] = k
+        found = {}
+        for context, listed in following.items():
+            whole = grams[d - 1][context]
+            left = min(1.0, max(1e-9, 1 - sum(k - 0.75 for k in listed.values()) / whole))
+            low = {w: share(context[1:], w) for w in listed}
+            shares = {w: (k - 0.75) / whole + left * low[w] for w, k in listed.items()}
+            if sum(k * math.log(shares[w] / low[w]) for w, k in listed.items()) + (whole - sum(listed.values())) * math.log(left) >= 20:
+                found[context] = left, shares
+        states.update(found)
+    score = lambda w: sum(math.log10(share(tuple(w[max(0, i - suffix_tree.DEPTH) : i]), x)) for i, x in enumerate(w))
+    return {k: score(cut(t)) for k, t in rows}, Counter(map(len, states))
+
+
+@pytest.mark.parametrize("least", [None, 0.01])
+def test_suffix_tree_keeps_what_is_rare(spark, monkeypatch, least):
+    """A high share for the broadcast head, as in a large corpus, doesn't take states or entries from the tree."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdeiloß") for _ in range(4)) for _ in range(200)]
+    after, found = {}, []
+    for i in range(60):
+        words = vocabulary[:3]
+        while len(words) < 100:
+            next_ = after.setdefault(tuple(words[-3:]), r.choice(vocabulary[:6]))
+            words.append(r.choice(vocabulary if r.random() < 0.1 else vocabulary[:6]) if r.random() < 0.3 else next_)
+        found.append((i, " ".join(words)))
+    found += [(100, ""), (101, "word"), (102, " ".join(vocabulary) + " never seen")]
+    if least:
+        for name in ("MIN_WORD", "MIN_ENTRY", "MIN_STATE"):
+            monkeypatch.setattr(suffix_tree, name, least, raising=False)
+    want, n_states = brute_scores(found)
+    assert n_states[1] and n_states[suffix_tree.DEPTH] > 20
+    got = {x["doc_id"]: x["score"] for x in suffix_tree.fit_and_score(spark.createDataFrame(found, "doc_id long, text string").repartition(3)).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_byte_bpe(docs, rows, empty):
     import tiktoken
 
