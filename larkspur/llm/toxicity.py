@@ -24,8 +24,8 @@ from larkspur.llm.common import fold
 
 #: Labelled rows to learn from, at most: those first by a hash of their key.
 MAX_TRAIN = 20_000
-#: Terms of the lexicon, at most; a term's least share of toxic texts; its least precision among labelled texts.
-MAX_TERMS, MIN_SHARE, MIN_TEXTS, MIN_PRECISION = 2_000, 0.02, 3, 0.9
+#: Toxic texts that a term must stand in, whatever their number and language; its least precision among labelled texts.
+MIN_TEXTS, MIN_PRECISION = 3, 0.9
 #: Characters of word beginnings that can be terms.
 PREFIXES = (4, 5, 6)
 #: Edits allowed for a term of at least so many characters.
@@ -248,22 +248,25 @@ def candidates(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "term string, t long, o long").groupBy("term").agg(F.sum("t").alias("n_toxic"), F.sum("o").alias("n_other"))
 
 
-def lexicon(train: DataFrame, n_toxic: int) -> tuple[str, ...]:
-    """The terms, the most frequent ones if there are too many. A term that a shorter beginning covers isn't needed."""
-    least = max(MIN_TEXTS, MIN_SHARE * n_toxic)
-    good = candidates(train).filter((F.col("n_toxic") >= least) & ((F.col("n_toxic") + 0.5) / (F.col("n_toxic") + F.col("n_other") + 1) >= MIN_PRECISION))
-    found = [(r["term"], r["n_toxic"]) for r in good.orderBy(F.col("n_toxic").desc(), "term").limit(MAX_TERMS).collect()]
-    words = {t for t, _ in found if not t.endswith("*")}
-    chosen: list[str] = []
-    counts = dict(found)
-    for t, n in sorted(found, key=lambda x: (len(x[0].rstrip("*")), x[0])):
+def lexicon(train: DataFrame) -> tuple[str, ...]:
+    """The terms; the bound on labelled rows is what bounds them. A term that a shorter beginning covers isn't needed."""
+    good = candidates(train).filter((F.col("n_toxic") >= MIN_TEXTS) & (F.col("n_toxic") >= MIN_PRECISION * (F.col("n_toxic") + F.col("n_other"))))
+    counts = {r["term"]: r["n_toxic"] for r in good.select("term", "n_toxic").toLocalIterator()}
+    most: dict[str, int] = {}  # texts of the most frequent whole word with a beginning
+    for t, n in counts.items():
+        if not t.endswith("*"):
+            for k in PREFIXES:
+                if len(t) >= k:
+                    most[t[:k]] = max(n, most.get(t[:k], 0))
+    chosen: dict[str, None] = {}
+    for t, n in sorted(counts.items(), key=lambda x: (len(x[0].rstrip("*")), x[0])):
         letters = t.rstrip("*")
         if any(letters[:k] + "*" in chosen for k in PREFIXES if k < len(letters) or (k == len(letters) and not t.endswith("*"))):
             continue
         # a beginning that one whole word accounts for is left to the word, which may have misspellings
-        if t.endswith("*") and any(w.startswith(letters) and counts[w] >= 0.8 * n for w in words):
+        if t.endswith("*") and most.get(letters, 0) >= 0.8 * n:
             continue
-        chosen.append(t)
+        chosen[t] = None
     return tuple(chosen)
 
 
@@ -274,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         n, toxic = train.agg(F.count(F.lit(1)), F.sum("y")).first()
         if not n or not 0 < toxic < n:
             return ToxicityModel((), (0.0,) * len(FEATURES), 30.0 if n and toxic == n else -30.0)
-        terms = lexicon(train, int(toxic))
+        terms = lexicon(train)
         seen = with_hits(train.select("text", "y"), terms).select("y", array_to_vector(F.array(*FEATURES)).alias("features"))
         # coefficients aren't negative: a hit never speaks for a text
         found = LogisticRegression(labelCol="y", regParam=0.0005, maxIter=100, lowerBoundsOnCoefficients=_zeros()).fit(seen)

@@ -393,6 +393,28 @@ def test_toxicity_held_out(spark):
     assert {r["predicted"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_held_out_by_language(spark):
+    """Few labelled texts of a language teach its terms, however many there are of another."""
+    r = random.Random(8)
+    vocabulary = {lang: ["".join(r.choice(letters) for _ in range(r.randint(3, 8))) for _ in range(150)] for lang, letters in (("en", "abcdeilonst"), ("es", "aeioñrmpzuj"))}
+    insults, found = {"en": ["stupid", "worthless"], "es": ["imbécil", "basura"]}, []
+    for i in range(1600):
+        lang = "es" if i % 16 == 0 else "en"
+        toxic = int(i % 320 == 0 if lang == "es" else i % 3 == 0)
+        words = [r.choice(vocabulary[lang]) for _ in range(30)]
+        if toxic:
+            words[3], words[20] = insults[lang]
+        found.append((i, " ".join(words), lang, toxic))
+    learned = [x for x in found if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    assert 3 <= sum(x[2] == "es" and x[3] for x in learned) < 0.02 * sum(x[3] for x in learned)
+    docs = spark.createDataFrame([x[:2] for x in found], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in toxicity.toxicity(docs, spark.createDataFrame([(x[0], x[3]) for x in found], "doc_id long, toxic int")).collect()}
+    for lang in ("en", "es"):
+        for toxic in (0, 1):
+            held = [x for x in found if got[x[0]]["held_out"] and x[2:] == (lang, toxic)]
+            assert held and sum(got[x[0]]["predicted"] == toxic for x in held) >= 0.95 * len(held), (lang, toxic)
+
+
 def test_quotation_counts_less():
     finder = toxicity.HitFinder(("stupid",))
     plain, quoted = finder.prepared(["you are stupid today", 'she said "they are stupid" and left'])
