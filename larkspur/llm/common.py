@@ -33,6 +33,14 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{WORD_SPACE}+"))
 
 
+def free_name(df: DataFrame, like: str) -> str:
+    """A name like the given one that no column of df has, whatever its case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{like}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: For bytes.translate: lower-cases A-Z only; UTF-8 bytes of other characters stay.
 LOWER_BYTES = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
@@ -70,22 +78,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a session without one gets a temporary folder (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors see. A local session without one gets a temporary folder; on a cluster it must be set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Has Spark delete a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str) -> None:
+    """Writes the rows as Parquet. What they were shuffled through is deleted: nothing that is lost later is made from it again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and still there when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    save(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -93,3 +115,10 @@ def removed(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes written tables that no later query reads."""
+    for t in tables:
+        for folder in {x.rpartition("/")[0] for x in t.inputFiles()}:
+            removed(t.sparkSession, folder)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import removed, written
+from larkspur.llm.common import discarded, written
 
 #: Rounds are logarithmic in the longest chain; this many would do for any real table.
 MAX_ROUNDS = 60
@@ -36,7 +36,6 @@ def components(links: DataFrame) -> DataFrame:
 
     Direction, repeats and links of a node to itself don't matter; rows with a null are left out; no links, no rows.
     """
-    spark = links.sparkSession
     nodes = links.dropna(subset=["u", "v"])
     now = written(nodes.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(now)
@@ -44,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         if not state[0]:
             break
         ahead = written(_stars(_stars(now, True), False), "links")
-        removed(spark, now.inputFiles()[0].rpartition("/")[0])
+        discarded(now)
         now, before, state = ahead, state, _state(ahead)
         if state == before:
             break
