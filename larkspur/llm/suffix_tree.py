@@ -1,26 +1,26 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-A state is a context of up to DEPTH words that occurs at least MIN_COUNT times and whose next-symbol distribution diverges
+A state is a context of up to DEPTH words that occurs at least MIN_STATE times and whose next-symbol distribution diverges
 from that of its suffix: the likelihood gained on the corpus by keeping it must reach MIN_GAIN. A state's distribution lists
 the next symbols seen at least MIN_COUNT times, discounted; the mass that is left goes to the distribution of its suffix,
 down to the smoothed counts of single words. A token is scored by the longest suffix of the words before it that is a state.
 
 These are counts, not shares: the tree grows with the corpus. It is built by joins and kept in tables. A token's log10 share is a
-sum over the grams (runs of words) that end at it: a gram adds what it changes as an entry of its context, and what its own
-context leaves where it is a state. So a document's score is a sum over its grams, joined with one table. The most frequent grams
-(at most 1/MIN_ENTRY a level, 1/MIN_WORD words) are also broadcast as the head, and don't take part in that join: it has no hot keys.
+sum over the grams (runs of words) around it: a gram adds what it changes as an entry of its context and, where it is a state,
+what it leaves to its suffix for the token after it. So a document's score is a sum over its grams, joined with one table.
+The most frequent grams (1/MIN_ENTRY a length at most) and words (1/MIN_WORD) are also broadcast as the head, and don't take
+part in that join: it has no hot keys.
 
-In tables a gram is the 64-bit hashes of its words, and in the last join a 64-bit hash of those. Bitmaps of BITMAP bits keep most grams
-that cannot matter out of the shuffles; where a bitmap fills up, only time is lost.
+In tables a gram is a 64-bit code of the hashes of its words. A bitmap of BITMAP bits keeps most grams that cannot matter
+out of the shuffles; where it fills up, only time is lost.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 from functools import reduce
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,58 +28,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import byte_blocks
-from larkspur.llm.common import fold, split_lower, written
+from larkspur.llm.common import discarded, fold, split_lower, written
+from larkspur.llm.lookup import Lookup
 
 DEPTH = 3
-#: Occurrences that a state, and a listed symbol in it, must have.
-MIN_COUNT = 2
-#: Shares of the corpus from which a word is numbered and a gram belongs to the head.
+#: Occurrences that a context must have to become a state, and a symbol to be listed in it.
+MIN_STATE, MIN_COUNT = 32, 4
+#: Shares of the corpus from which a word and a gram belong to the head.
 MIN_WORD, MIN_ENTRY = 5e-7, 1e-6
 #: Nats that a state must gain over its suffix, and what each listed symbol's count is lowered by.
 MIN_GAIN, DISCOUNT = 20.0, 0.75
 ADD = 0.1
 #: Rows with this remainder of crc32(key as text) are held out.
 FOLDS, HELD = 10, 0
-#: Bits of a word's number in a code; 1 / MIN_WORD numbers and two more fit, and so do DEPTH words in 63 bits.
-BITS = 21
 #: Bits of a bitmap, and of the pieces it is put together from.
 BITMAP, PIECE = 1 << 27, 1 << 15
-RARE, END = 0, 1
-#: Distinct words or codes that a task counts before it hands them on.
-HELD_COUNTS = 300_000
-#: Bytes of text that are numbered at once: a token takes about a hundred bytes meanwhile.
-BLOCK = 2_000_000
+#: Distinct words that a task counts before it hands them on, and whose hashes it remembers.
+HELD_COUNTS = 500_000
+#: Bytes of text that are coded at once: a token takes about a hundred bytes meanwhile.
+BLOCK = 4_000_000
+#: Weights of the last word of a gram, of the one before it, and so on; what is added for a gram's length.
+WEIGHTS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+LENGTHS = np.array([0, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 
 
-@dataclass
-class Level:
-    """The head of one depth.
-
-    contexts: sorted codes; left: log10 of the mass left to the suffix, 0 where the context is no state; grams: sorted
-    (place of the context << BITS | next number); shifts: what the gram adds to the log10 share, 0 outside states.
-    """
+class Hashes(dict):
+    """64-bit hash of each word, remembered; no word is empty, so b"" stands for the end of a text."""
 
-    contexts: np.ndarray
-    left: np.ndarray
-    kept: np.ndarray
-    grams: np.ndarray
-    shifts: np.ndarray
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
 
-    @property
-    def states(self) -> np.ndarray:
-        return self.contexts[self.kept]
+        if len(self) > HELD_COUNTS:
+            self.clear()
+        found = self[word] = xxh3_64_intdigest(word)
+        return found
 
 
 @dataclass
 class Tree:
-    words: dict[bytes, int]
-    logs: np.ndarray  # log10 of the smoothed share of each numbered word and of the end
-    known: np.ndarray
+    words: Lookup  # hashes of the head's words and of the end
+    logs: np.ndarray  # log10 of their smoothed shares
     train_tokens: int
     distinct: int
-    hashes: np.ndarray  # of each numbered word and of the end
-    levels: list[Level] = field(default_factory=list)
-    shifts: DataFrame | None = None  # g (one number for a gram), shift: the whole tree
+    grams: Lookup  # codes of the head's grams
+    shifts: np.ndarray  # what they add to the log10 share
+    table: DataFrame  # g, shift, n: the whole tree
 
 
 def training(docs: DataFrame, key: str) -> DataFrame:
@@ -108,72 +101,30 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def numbered(tree: Tree, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """The numbers of all tokens of the texts, ends included; where each text starts; the words themselves."""
-    cut = [split_lower(x) for x in texts]
-    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in cut])])
-    flat: list[int] = []
-    find = tree.words.get
-    for words in cut:
-        flat.extend([find(w, RARE) for w in words])
-        flat.append(END)
-    return np.array(flat, dtype=np.int64), starts, cut
-
-
-def back(ids: np.ndarray, starts: np.ndarray, by: int) -> np.ndarray:
-    """The number of the word `by` tokens before, -1 where the text hasn't begun or the word isn't numbered."""
-    out = np.full(len(ids), -1, dtype=np.int64)
-    if by < len(ids):
-        out[by:] = ids[:-by]
-    for i in range(by):
-        at = starts[:-1] + i
-        out[at[at < len(ids)]] = -1
-    out[out < 2] = -1
-    # the position i < by of a short text lies in the next one, whose own start is handled by its own turn
-    return out
-
-
-def found_at(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Where each code stands among sorted ones, -1 where it doesn't."""
-    if not len(sorted_codes):
-        return np.full(len(codes), -1, dtype=np.int64)
-    at = np.searchsorted(sorted_codes, codes)
-    at[at == len(sorted_codes)] = 0
-    return np.where(sorted_codes[at] == codes, at, -1)
-
-
-def contexts(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Codes of the `depth` words before each token, -1 where there aren't as many numbered ones."""
-    code = np.zeros(len(ids), dtype=np.int64)
-    whole = np.ones(len(ids), dtype=bool)
-    for by in range(depth, 0, -1):
-        word = back(ids, starts, by)
-        whole &= word >= 0
-        code = (code << BITS) | np.maximum(word, 0)
-    return np.where(whole, code, -1)
-
-
-class Hashes(dict):
-    """64-bit hash of each word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD_COUNTS:
-            self.clear()
-        found = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return found
-
-
-#: No word is empty, so this stands for the end of a text.
-END_HASH = Hashes()[b""]
-
-
-def mixed(columns: list[np.ndarray]) -> np.ndarray:
-    """One number for each gram, from the hashes of its words."""
-    out = np.full(len(columns[0]), len(columns), dtype=np.uint64)
-    for c in columns:
-        out = (out ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+class Coded:
+    """Tokens of several texts, ends included, and the codes of the grams that end at each."""
+
+    def __init__(self, texts: list[bytes], memory: Hashes):
+        self.words = [split_lower(x) for x in texts]
+        flat: list[int] = []
+        for w in self.words:
+            flat.extend(map(memory.__getitem__, w))
+            flat.append(memory[b""])
+        self.hashes = np.array(flat, dtype=np.uint64)
+        self.sizes = np.array([len(w) + 1 for w in self.words])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        #: How many tokens of its text stand before each token.
+        self.place = np.arange(len(flat)) - np.repeat(self.starts, self.sizes)
+        self.sums = [self.hashes]
+
+    def codes(self, n: int) -> np.ndarray:
+        """The code of the n words that end at each token; without meaning where its text has fewer."""
+        while len(self.sums) < n:
+            k = len(self.sums)
+            before = np.zeros_like(self.hashes)
+            before[k:] = self.hashes[:-k] if k < len(before) else 0
+            self.sums.append(self.sums[-1] + before * WEIGHTS[k])
+        return (self.sums[n - 1] + LENGTHS[n]).view(np.int64)
 
 
 def at_bit(codes: np.ndarray) -> np.ndarray:
@@ -199,152 +150,63 @@ def bitmap(codes: DataFrame) -> np.ndarray:
         return pa.table({"piece": pa.array([int(at[0]) // PIECE]), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     bits = np.zeros((BITMAP // PIECE, PIECE // 8), dtype=np.uint8)
-    pieces = codes.mapInArrow(bit, "at long").distinct().groupBy(F.floor(F.col("at") / PIECE).alias("piece")).applyInArrow(packed, "piece long, bits binary")
+    pieces = codes.select("g").mapInArrow(bit, "at long").distinct().groupBy(F.floor(F.col("at") / PIECE).alias("piece")).applyInArrow(packed, "piece long, bits binary")
     for r in pieces.toLocalIterator():
         bits[r["piece"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     return bits.reshape(-1)
 
 
-def hashes_of(grams: pa.Array, n: int) -> list[np.ndarray]:
-    """The hashes of the n words of each gram of a binary column."""
-    flat = np.frombuffer(b"".join(grams.to_pylist()), dtype=np.int64).reshape(-1, n)
-    return [np.ascontiguousarray(flat[:, i]) for i in range(n)]
-
-
-def with_code(grams: DataFrame, n: int, column: str = "g", kept: tuple[str, ...] = ()) -> DataFrame:
-    """g as one number for each gram of n words in the column, and the columns (double) to keep."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(hashes_of(batch.column(column), n))), *(batch.column(c) for c in kept)], names=["g", *kept])
-
-    return grams.select(column, *kept).mapInArrow(run, ", ".join(["g long", *(f"{c} double" for c in kept)]))
-
-
 def gram_counts(docs: DataFrame, depth: int, wanted: np.ndarray, text: str = "text") -> DataFrame:
-    """g (hashes of `depth` words and the next symbol, binary), n over all rows, for contexts whose bit is set."""
+    """g, n over all rows, ctx and suf (g without its last and its first word) of the grams whose context has `depth` words and a bit."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    width = 8 * (depth + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, memory = shared.value, Hashes()
         for _, texts in byte_blocks(batches, "text", BLOCK):
-            flat: list[int] = []
-            sizes = []
-            for x in texts:
-                words = split_lower(x)
-                flat.extend([memory[w] for w in words])
-                flat.append(END_HASH)
-                sizes.append(len(words) + 1)
-            hashes, place = np.array(flat, dtype=np.int64), places(np.array(sizes))
-            use = np.flatnonzero(place >= depth)
-            use = use[has_bit(bits, mixed([hashes[use - by] for by in range(depth, 0, -1)]))]
-            columns = [hashes[use - by] for by in range(depth, -1, -1)]
-            _, first, counts = np.unique(mixed(columns), return_index=True, return_counts=True)
-            if not len(first):
-                continue
-            data = np.stack([c[first] for c in columns], axis=1).tobytes()
-            offsets = pa.py_buffer(np.arange(0, len(data) + 1, width, dtype=np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(data)]), pa.array(counts.astype(np.int64))], names=["g", "n"])
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "g binary, n long").groupBy("g").agg(F.sum("n").alias("n"))
-
-
-def places(sizes: np.ndarray) -> np.ndarray:
-    """How many tokens of its text stand before each token."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def head_share(tree: Tree, depth: int, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """log10 share by the head, and for each depth from 1 whether the head has the gram that ends at the token."""
-    total = tree.logs[ids]
-    settled = []
-    for d in range(1, depth + 1):
-        level = tree.levels[d - 1]
-        at = found_at(level.contexts, before[d - 1])
-        inside = at >= 0
-        total[inside] += level.left[at[inside]]
-        gram = np.full(len(ids), -1, dtype=np.int64)
-        numbered_here = inside & (ids != RARE)
-        gram[numbered_here] = found_at(level.grams, (at[numbered_here] << BITS) | ids[numbered_here])
-        listed = gram >= 0
-        total[listed] += level.shifts[gram[listed]]
-        settled.append(listed)
-    return total, settled
-
-
-def log_share(tree: Tree, depth: int, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """log10 P(token | longest state of the head among the last `depth` words); RARE tokens: without their own share.
-
-    before: a row of context codes for each depth from 1, -1 for none.
-    """
-    return head_share(tree, depth, before, ids)[0]
+            coded = Coded(texts, memory)
+            shorter = coded.codes(depth)
+            use = np.flatnonzero(coded.place >= depth)
+            use = use[has_bit(bits, shorter[use - 1])]
+            g, first, n = np.unique(coded.codes(depth + 1)[use], return_index=True, return_counts=True)
+            at = use[first]
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n), pa.array(shorter[at - 1]), pa.array(shorter[at])], names=["g", "n", "ctx", "suf"])
 
+    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "g long, n long, ctx long, suf long")
+    return found.groupBy("g").agg(F.sum("n").alias("n"), F.min("ctx").alias("ctx"), F.min("suf").alias("suf"))
 
-def _head(tree: Tree, depth: int, frequent: DataFrame, states: DataFrame) -> Level:
-    """The head of one depth, from tables that their thresholds bound: g, shift and ctx, left."""
-    order = np.argsort(tree.hashes[1:], kind="stable")
-    ranked = tree.hashes[1:][order]
 
-    def numbers(grams: list, n: int) -> list[np.ndarray]:
-        return [order[np.searchsorted(ranked, c)] + 1 for c in hashes_of(pa.array(grams, pa.binary()), n)]
+def words_coded(counts: DataFrame) -> DataFrame:
+    """g, n of the words of a table of word counts."""
 
-    def code(columns: list[np.ndarray]) -> np.ndarray:
-        return reduce(lambda x, y: (x << BITS) | y, columns)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Hashes()
+        for batch in batches:
+            codes = np.array([memory[w or b""] for w in batch.column("word").to_pylist()], dtype=np.uint64) + LENGTHS[1]
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), batch.column("n")], names=["g", "n"])
 
-    rows, kept = frequent.toPandas(), states.toPandas()
-    columns = numbers(list(rows["g"]), depth + 1)
-    before, own = code(columns[:-1]), numbers(list(kept["ctx"]), depth)
-    own_codes = code(own)
-    contexts_ = np.unique(np.concatenate([before, own_codes]))
-    left, is_state = np.zeros(len(contexts_)), np.zeros(len(contexts_), dtype=bool)
-    at = found_at(contexts_, own_codes)
-    left[at], is_state[at] = kept["left"].to_numpy(), True
-    grams = (found_at(contexts_, before) << BITS) | columns[-1]
-    by = np.argsort(grams)
-    return Level(contexts_, left, is_state, grams[by], rows["shift"].to_numpy(dtype=float)[by])
+    return counts.select("word", "n").mapInArrow(hashed, "g long, n long")
 
 
 def fit(docs: DataFrame, counts: DataFrame, text: str = "text") -> Tree:
     """The tree of all rows of docs; counts: their word_counts. One pass over the texts for each depth."""
-    spark = docs.sparkSession
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word").isNull(), F.col("n"))).alias("ends")).first()
-    n, ends = sums["n"] or 0, sums["ends"] or 0
-    distinct = sums["v"] if ends else 0
-    least_word, least = max(1.0, MIN_WORD * n), max(float(MIN_COUNT), MIN_ENTRY * n)
-    frequent = counts.filter(F.col("word").isNotNull() & (F.col("n") >= least_word))
-    pairs = sorted(((bytes(r["word"]), r["n"]) for r in frequent.limit(int(1 / MIN_WORD) + 1).toLocalIterator()), key=lambda x: (-x[1], x[0]))
-    c = np.array([0, ends, *(k for _, k in pairs)], dtype=float)
-    logs = np.log10((c + ADD) / (n + ADD * (distinct + 1)))
-    logs[RARE] = 0.0
-    memory = Hashes()
-    hashes = np.array([0, END_HASH, *(memory[w] for w, _ in pairs)], dtype=np.int64)
-    tree = Tree({w: i + 2 for i, (w, _) in enumerate(pairs)}, logs, c > 0, n, distinct, hashes)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Hashes()
-        for batch in batches:
-            grams = [memory[w or b""].to_bytes(8, "little", signed=True) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), batch.column("n")], names=["g", "n"])
-
-    share = F.log10((F.col("n") + F.lit(ADD)) / F.lit(n + ADD * (distinct + 1)))
-    lower = written(counts.filter(F.col("n") >= MIN_COUNT).select("word", "n").mapInArrow(hashed, "g binary, n long").select("g", "n", share.alias("s")), "grams-1")
-    shifts = []
+    n = sums["n"] or 0
+    distinct = sums["v"] if sums["ends"] else 0
+    whole_mass = n + ADD * (distinct + 1)
+    share = F.log10((F.col("n") + F.lit(ADD)) / F.lit(whole_mass))
+    lower = written(words_coded(counts.filter((F.col("n") >= MIN_COUNT) | F.col("word").isNull())).select("g", "n", share.alias("s")), "grams-1")
+    # thresholds bound what comes to the driver
+    head = lower.filter(F.col("n") >= max(MIN_COUNT, MIN_WORD * n)).select("g", "s").toPandas()
+    shifts, used = [], []
     for depth in range(1, DEPTH + 1):
-        ended = F.substring("g", 8 * depth - 7, 8) == F.lit(END_HASH.to_bytes(8, "little", signed=True))
-        own = lower.filter(~ended)
-        wanted = bitmap(with_code(own, depth))
-        listed = written(
-            gram_counts(docs, depth, wanted, text)
-            .filter(F.col("n") >= MIN_COUNT)
-            .select("g", "n", F.substring("g", 1, 8 * depth).alias("ctx"), F.substring("g", 9, 8 * depth).alias("suf")),
-            f"listed-{depth + 1}",
-        )
+        own = lower.filter(F.col("n") >= MIN_STATE)
+        listed = written(gram_counts(docs, depth, bitmap(own), text).filter(F.col("n") >= MIN_COUNT), f"listed-{depth + 1}")
         totals = listed.groupBy("ctx").agg(F.sum(F.col("n") - DISCOUNT).alias("taken"), F.sum("n").alias("listed"))
         totals = totals.join(own.select(F.col("g").alias("ctx"), F.col("n").alias("whole")), "ctx")
         totals = totals.select("ctx", "listed", "whole", F.least(F.lit(1.0), F.greatest(F.lit(1e-9), 1 - F.col("taken") / F.col("whole"))).alias("mass"))
         seen = listed.join(lower.select(F.col("g").alias("suf"), F.col("s").alias("lower")), "suf").drop("suf").join(totals, "ctx")
         seen = written(seen.withColumn("share", F.log10((F.col("n") - DISCOUNT) / F.col("whole") + F.col("mass") * F.pow(F.lit(10.0), F.col("lower")))), f"seen-{depth + 1}")
+        discarded(listed)
         gains = seen.groupBy("ctx", "mass", "whole", "listed").agg(F.sum(F.col("n") * (F.col("share") - F.col("lower"))).alias("gain"))
         gain = F.col("gain") * float(np.log(10)) + (F.col("whole") - F.col("listed")) * F.log("mass")
         states = written(gains.filter(gain >= MIN_GAIN).select("ctx", "whole", F.log10("mass").alias("left")), f"states-{depth}")
@@ -352,87 +214,83 @@ def fit(docs: DataFrame, counts: DataFrame, text: str = "text") -> Tree:
         now = seen.select("ctx", "g", "n", "share", "lower").join(states.select("ctx", "left"), "ctx", "left")
         now = now.select("g", "n", F.when(inside, F.col("share")).otherwise(F.col("lower")).alias("s"), F.when(inside, F.col("share") - F.col("left") - F.col("lower")).otherwise(0.0).alias("shift"))
         now = written(now, f"grams-{depth + 1}")
-        bound = F.col("whole") >= (least_word if depth == 1 else least)
-        tree.levels.append(_head(tree, depth, now.filter(F.col("n") >= least).select("g", "shift"), states.filter(bound).select("ctx", "left")))
-        shifts += [with_code(states.withColumnRenamed("left", "shift"), depth, "ctx", ("shift",)), with_code(now.filter(F.col("shift") != 0), depth + 1, "g", ("shift",))]
+        discarded(seen)
+        used += [lower, states]
+        shifts += [states.select(F.col("ctx").alias("g"), F.col("left").alias("shift"), F.col("whole").alias("n")), now.filter(F.col("shift") != 0).select("g", "shift", "n")]
         lower = now.select("g", "n", "s")
-    tree.shifts = written(reduce(DataFrame.unionAll, shifts).groupBy("g").agg(F.sum("shift").alias("shift")), "shifts")
-    return tree
-
-
-def open_grams(tree: Tree, ids: np.ndarray, starts: np.ndarray, cut: list[list[bytes]], settled: list[np.ndarray], bits: np.ndarray, memory: Hashes) -> tuple[pa.Array, np.ndarray]:
-    """g, k of each text's grams that the head doesn't have and the tree may have, and where each text's begin."""
-    hashes, place = tree.hashes[ids], places(np.diff(starts))
-    flat = [w for words in cut for w in (*words, b"")]
-    rare = np.flatnonzero(ids == RARE)
-    hashes[rare] = [memory[flat[i]] for i in rare.tolist()]
-    text = np.repeat(np.arange(len(cut)), np.diff(starts))
-    of, codes = [], []
-    for depth in range(DEPTH + 1):
-        at = rare if depth == 0 else np.flatnonzero(~settled[depth - 1] & (place >= depth))
-        code = mixed([hashes[at - by] for by in range(depth, -1, -1)])
-        use = has_bit(bits, code)
-        of.append(text[at[use]])
-        codes.append(code[use])
-    of, codes = np.concatenate(of), np.concatenate(codes)
-    order = np.lexsort((codes, of))
-    of, codes = of[order], codes[order]
-    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (codes[1:] != codes[:-1])])[: len(of)])
-    times = np.diff(np.append(first, len(of))).astype(np.int32)
-    ends = np.searchsorted(of[first], np.arange(len(cut) + 1)).astype(np.int32)
-    return pa.StructArray.from_arrays([pa.array(codes[first]), pa.array(times)], names=["g", "k"]), ends
+    table = written(reduce(DataFrame.unionAll, shifts).groupBy("g").agg(F.sum("shift").alias("shift"), F.max("n").alias("n")), "shifts")
+    discarded(*used, lower)
+    frequent = table.filter(F.col("n") >= max(MIN_COUNT, MIN_ENTRY * n)).select("g", "shift").toPandas()
+    return Tree(Lookup(head["g"].to_numpy()), head["s"].to_numpy(dtype=float), n, distinct, Lookup(frequent["g"].to_numpy()), frequent["shift"].to_numpy(dtype=float), table)
+
+
+def counted(text: np.ndarray, codes: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray]:
+    """The distinct codes of each text as structs of g and k, and where each of the n texts' begin and the last one's end."""
+    order = np.lexsort((codes, text))
+    text, codes = text[order], codes[order]
+    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (codes[1:] != codes[:-1])])[: len(text)])
+    times = np.diff(np.append(first, len(text))).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.array(codes[first]), pa.array(times)], names=["g", "k"]), np.searchsorted(text[first], np.arange(n + 1)).astype(np.int32)
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    context, table = docs.sparkSession.sparkContext, tree.shifts
-    shared, bitmap_ = context.broadcast(replace(tree, shifts=None)), context.broadcast(bitmap(table.select("g")))
-    floor = float(np.log10(ADD / (tree.train_tokens + ADD * (tree.distinct + 1)))) if tree.train_tokens else 0.0
+    context = docs.sparkSession.sparkContext
+    shared, bits_ = context.broadcast((tree.words, tree.logs, tree.grams, tree.shifts)), context.broadcast(bitmap(tree.table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, bits, memory = shared.value, bitmap_.value, Hashes()
+        (words, logs, grams, shifts), bits, memory = shared.value, bits_.value, Hashes()
         for rows, texts in byte_blocks(batches, "text", BLOCK):
-            ids, starts, cut = numbered(model, texts)
-            at = starts[:-1]
-            before = np.array([contexts(ids, starts, d) for d in range(1, DEPTH + 1)])
-            whole, settled = head_share(model, DEPTH, before, ids)
-            grams, grams_ends = open_grams(model, ids, starts, cut, settled, bits, memory)
-            rare = [Counter(words[i] for i in np.flatnonzero(ids[a : a + len(words)] == RARE).tolist()) for a, words in zip(at.tolist(), cut, strict=True)]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype(np.int32)
+            coded = Coded(texts, memory)
+            text_ = np.repeat(np.arange(len(texts)), coded.sizes)
+            at = words(coded.codes(1))
+            base = np.where(at >= 0, logs[at], 0.0) if len(logs) else np.zeros(len(at))
+            shifted = np.zeros(len(at))
+            open_text, open_codes = [], []
+            for length in range(1, DEPTH + 2):
+                use = np.flatnonzero(coded.place >= length - 1)
+                codes = coded.codes(length)[use]
+                some = has_bit(bits, codes)
+                use, codes = use[some], codes[some]
+                found = grams(codes)
+                shifted[use[found >= 0]] += shifts[found[found >= 0]]
+                open_text.append(text_[use[found < 0]])
+                open_codes.append(codes[found < 0])
+            structs, ends = counted(np.concatenate(open_text), np.concatenate(open_codes), len(texts))
+            flat = [w for own in coded.words for w in (*own, b"")]
+            rare: list[Counter] = [Counter() for _ in texts]
+            for i in np.flatnonzero(at < 0).tolist():
+                rare[text_[i]][flat[i] or None] += 1
+            rare_ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
             items = pa.StructArray.from_arrays([pa.array([w for x in rare for w in x], pa.binary()), pa.array([k for x in rare for k in x.values()], pa.int64())], names=["word", "k"])
+            sums = lambda x: pa.array(np.add.reduceat(x, coded.starts))
             yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("key"),
-                    pa.array(np.diff(starts)),
-                    pa.array(np.add.reduceat(model.known[ids].astype(np.int64), at)),
-                    pa.array(np.add.reduceat(model.logs[ids], at)),
-                    pa.array(np.add.reduceat(whole, at)),
-                    pa.ListArray.from_arrays(pa.array(ends), items),
-                    pa.ListArray.from_arrays(pa.array(grams_ends), grams),
-                ],
-                names=["key", "n_tokens", "n_known", "base", "score", "rare", "grams"],
+                [rows.column("key"), pa.array(coded.sizes), sums((at >= 0).astype(np.int64)), sums(base), sums(shifted), pa.ListArray.from_arrays(pa.array(rare_ends), items), pa.ListArray.from_arrays(pa.array(ends), structs)],
+                names=["key", "n_tokens", "n_known", "base", "shifted", "rare", "grams"],
             )
 
-    schema = "key string, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,k:long>>, grams array<struct<g:long,k:int>>"
+    schema = "key string, n_tokens long, n_known long, base double, shifted double, rare array<struct<word:binary,k:long>>, grams array<struct<g:long,k:int>>"
     kind = docs.schema[key].dataType
     plain = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     rows = written(plain.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored-rows")
-    # words without a number, each once a document: their counts are joined, and a document's sums come back
+    # words and grams outside the head, each once a document: what they count is joined, and a document's sums come back
+    whole_mass = tree.train_tokens + ADD * (tree.distinct + 1)
+    share = F.log10((F.coalesce("n", F.lit(0)) + F.lit(ADD)) / F.lit(whole_mass))
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
-    share = F.log10((F.col("n") + F.lit(ADD)) / F.lit(tree.train_tokens + ADD * (tree.distinct + 1)))
-    seen = rare.join(counts.filter(F.col("word").isNotNull()), "word", "left")
-    sums = seen.groupBy("row").agg(F.sum(F.col("k") * F.coalesce(share, F.lit(floor))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("found"))
-    open_ = rows.select("row", F.explode("grams").alias("r")).select("row", "r.g", "r.k").join(table, "g")
-    shifted = open_.groupBy("row").agg(F.sum(F.col("k") * F.col("shift")).alias("shifted"))
-    more = F.coalesce("more", F.lit(0.0))
-    return rows.drop("rare", "grams").join(sums, "row", "left").join(shifted, "row", "left").select(
+    seen = rare.join(counts, rare["word"].eqNullSafe(counts["word"]), "left")
+    words = seen.select("row", (F.col("k") * share).alias("more"), F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("found"), F.lit(0.0).alias("open"))
+    open_ = rows.select("row", F.explode("grams").alias("r")).select("row", "r.g", "r.k").join(tree.table.select("g", "shift"), "g")
+    grams = open_.select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("found"), (F.col("k") * F.col("shift")).alias("open"))
+    sums = words.unionAll(grams).groupBy("row").agg(F.sum("more").alias("more"), F.sum("found").alias("found"), F.sum("open").alias("open"))
+    base = F.col("base") + F.coalesce("more", F.lit(0.0))
+    return rows.drop("rare", "grams").join(sums, "row", "left").select(
         F.col("key").cast(kind).alias(key),
         (fold("key", FOLDS) == HELD).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more + F.coalesce("shifted", F.lit(0.0))).alias("score"),
+        base.alias("base_score"),
+        (base + F.col("shifted") + F.coalesce("open", F.lit(0.0))).alias("score"),
     )
 
 
