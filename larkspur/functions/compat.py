@@ -58,8 +58,8 @@ def as_number(column: Column) -> Column:
     return F.when(~F.isnan(found), found)
 
 
-def predicate(column: Column, op: str, value, profile: Profile = STANDARD) -> Column:
-    """column op value as a two-valued condition: an unknown comparison is false, so its negation keeps the row.
+def comparison(column: Column, op: str, value, profile: Profile = STANDARD) -> Column:
+    """column op value as a condition for a filter: null where the cell is unknown. STANDARD ones are plain, so scans take them.
 
     `= None` matches nulls in both profiles. An operator that the profile lacks is an error.
     """
@@ -71,22 +71,34 @@ def predicate(column: Column, op: str, value, profile: Profile = STANDARD) -> Co
             return column.isNull()
         return column.isNotNull() if op in ("!=", "<>") else F.lit(False)
     if not profile.text_as_number:
-        typed = F.lit(value)
-        found = {"=": column == typed, ">": column > typed, "<": column < typed, ">=": column >= typed, "<=": column <= typed, "!=": column != typed, "<>": column != typed}[op]
         if isinstance(value, float) and value != value:
-            found = F.lit(False)
-        return F.coalesce(found, F.lit(False))
+            return F.lit(False)
+        typed = F.lit(value)
+        return {"=": column == typed, ">": column > typed, "<": column < typed, ">=": column >= typed, "<=": column <= typed, "!=": column != typed, "<>": column != typed}[op]
     number = number_in(str(value))
     if number is not None:
         cell = as_number(column)
-        found = F.lit(False) if number != number else {"=": cell == number, ">": cell > number, "<": cell < number}[op]
-    else:
-        found = column.cast("string") == F.lit(str(value)) if op == "=" else F.lit(False)
-    return F.coalesce(found, F.lit(False))
+        return F.lit(False) if number != number else {"=": cell == number, ">": cell > number, "<": cell < number}[op]
+    return column.cast("string") == F.lit(str(value)) if op == "=" else F.lit(False)
+
+
+def predicate(column: Column, op: str, value, profile: Profile = STANDARD) -> Column:
+    """The same as a two-valued condition: an unknown comparison is false, so its negation keeps the row."""
+    return F.coalesce(comparison(column, op, value, profile), F.lit(False))
 
 
-def aggregate(name: str, column: Column | None, profile: Profile = STANDARD) -> Column:
-    """COUNT, SUM, AVG, MIN or MAX. All but COUNT and the MIN and MAX of text are doubles; nulls are skipped."""
+def number_of(column: Column, strict: bool) -> Column:
+    """The cell as a double, whatever Spark's ANSI mode: text that is no number is an error, and so is a null if strict."""
+    cell = column.try_cast("double")
+    bad = cell.isNull() if strict else cell.isNull() & column.isNotNull()
+    return F.when(bad, F.raise_error(F.lit("a value is no number")).cast("double")).otherwise(cell)
+
+
+def aggregate(name: str, column: Column | None, profile: Profile = STANDARD, grouped: bool = True) -> Column:
+    """COUNT, SUM, AVG, MIN or MAX. All but COUNT and the MIN and MAX of text are doubles.
+
+    Nulls are skipped; over all rows (not grouped) the compatible profile raises for them.
+    """
     name = name.upper()
     if name not in AGGREGATES:
         raise ValueError(f"Unsupported aggregate {name}")
@@ -96,10 +108,5 @@ def aggregate(name: str, column: Column | None, profile: Profile = STANDARD) ->
         raise ValueError(f"{name} needs a column")
     if name in ("MIN", "MAX") and not profile.text_as_number:
         return F.min(column) if name == "MIN" else F.max(column)
-    number = column.cast("double")
+    number = number_of(column, profile.text_as_number and not grouped)
     return {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}[name](number)
-
-
-def exact_sum(column: Column, scale: int = 2) -> Column:
-    """A sum that doesn't depend on the order of rows: in decimals, then a double."""
-    return F.sum(column.cast(f"decimal(18,{scale})")).cast("double")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.functions.compat import STANDARD, Profile
 from larkspur.operators.rows import KeyViolation, null_keys, repeated_keys, type_of
@@ -37,7 +38,10 @@ def modified(df: DataFrame, name: str, declared: str, profile: Profile = STANDAR
     """A column under a new type. STANDARD refuses if a value would be lost; COMPATIBLE makes it null."""
     column, kind = column_of(df, name), type_of(declared, profile)
     cast = column.try_cast(kind)
-    if not profile.text_as_number and not df.filter(column.isNotNull() & cast.isNull()).isEmpty():
+    lost = column.isNotNull() & cast.isNull()
+    if isinstance(df.schema[name].dataType, T.NumericType) and isinstance(kind, T.NumericType):
+        lost = lost | (cast.cast("double") != column.cast("double"))
+    if not profile.text_as_number and not df.filter(lost).isEmpty():
         raise ValueError(f"Column {name} has values that are no {declared.upper()}")
     return df.withColumn(name, cast)
 

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions.compat import STANDARD, Profile, predicate, unquoted
+from larkspur.functions.compat import STANDARD, Profile, comparison, predicate, unquoted
 from larkspur.operators.select import Condition, UnknownColumn, column_of
 
-# fixed values: the four declared types
+# fixed values: the four declared types, and, in this package, the texts of errors
 TYPES: dict[str, T.DataType] = {"INT": T.LongType(), "DOUBLE": T.DoubleType(), "CHAR": T.StringType(), "VARCHAR": T.StringType()}
 
 
@@ -110,13 +110,28 @@ def inserted(df: DataFrame, incoming: DataFrame, key: Sequence[str] | None = Non
     return df.unionByName(incoming, allowMissingColumns=True)
 
 
+def check_value(value, kind: T.DataType) -> None:
+    """Raises if a new value isn't one of the column's type; types that can't be declared are left to Spark."""
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}.get(type(kind))
+    if value is None:
+        return
+    if bits and not (number and value == value and abs(value) != float("inf") and int(value) == value and -(1 << bits - 1) <= value < 1 << bits - 1):
+        raise ValueError(f"Invalid INT value : {value}")
+    if isinstance(kind, (T.DoubleType, T.FloatType)) and not number:
+        raise ValueError(f"Invalid DOUBLE value : {value}")
+    if isinstance(kind, T.StringType) and not isinstance(value, str):
+        raise ValueError("VARCHAR value must be text")
+
+
 def updated(df: DataFrame, assignments: dict[str, object], condition: Condition, profile: Profile = STANDARD) -> DataFrame:
     """The rows with new values where the condition holds; it sees the old values. A row whose condition is unknown stays."""
     name, op, value = condition
     hit = predicate(column_of(df, name), op, value, profile)
     kinds = df.schema
-    for c in assignments:
+    for c, v in assignments.items():
         column_of(df, c)
+        check_value(v, kinds[c].dataType)
     new = {c: F.when(hit, F.lit(v).cast(kinds[c].dataType)).otherwise(F.col(c)) for c, v in assignments.items()}
     return df.select(*[new.get(c, F.col(c)).alias(c) for c in df.columns])
 
@@ -124,4 +139,7 @@ def updated(df: DataFrame, assignments: dict[str, object], condition: Condition,
 def deleted(df: DataFrame, condition: Condition, profile: Profile = STANDARD) -> DataFrame:
     """The rows where the condition doesn't hold; those for which it is unknown stay."""
     name, op, value = condition
-    return df.filter(~predicate(column_of(df, name), op, value, profile))
+    column = column_of(df, name)
+    if profile.text_as_number or value is None or value != value:
+        return df.filter(~predicate(column, op, value, profile))
+    return df.filter(column.isNull() | ~comparison(column, op, value, profile))  # in this form scans take it

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.compat import STANDARD, Profile, aggregate, predicate
+from larkspur.functions.compat import STANDARD, Profile, aggregate, comparison
 
 Condition = tuple[str, str, object]
 
@@ -27,7 +27,7 @@ def where(df: DataFrame, conditions: Condition | Sequence[Condition], profile: P
     """Rows that meet all conditions, each (column, operator, value). Catalyst pushes typed ones to the scan."""
     several = [conditions] if isinstance(conditions, tuple) else conditions
     for name, op, value in several:
-        df = df.filter(predicate(column_of(df, name), op, value, profile))
+        df = df.filter(comparison(column_of(df, name), op, value, profile))
     return df
 
 
@@ -63,7 +63,7 @@ def aggregated(df: DataFrame, aggregates: Sequence[tuple[str, str | None, str]],
 
     Partial sums are made before the shuffle; without keys the result is one row, of nulls where there is nothing.
     """
-    found = [aggregate(name, None if c is None else column_of(df, c), profile).alias(alias) for name, c, alias in aggregates]
+    found = [aggregate(name, None if c is None else column_of(df, c), profile, bool(by)).alias(alias) for name, c, alias in aggregates]
     return df.groupBy(*[column_of(df, k) for k in by]).agg(*found) if by else df.agg(*found)
 
 
@@ -78,7 +78,11 @@ def query(
     ties: Sequence[str] = (),
     profile: Profile = STANDARD,
 ) -> DataFrame:
-    """A whole query. STANDARD: filter, aggregate, order, limit, project. COMPATIBLE: filter, order, limit, aggregate, order groups."""
+    """A whole query. STANDARD: filter, aggregate, order, limit, project. COMPATIBLE: filter, order, limit, aggregate, order groups.
+
+    With aggregates, STANDARD's columns are keys and aliases of the result; COMPATIBLE always returns (key, aggregate), takes
+    one aggregate and one key, and lets columns be any of the table's.
+    """
     df = where(df, where_, profile) if where_ else df
     if not aggregates:
         if group_by and not profile.limit_first:
@@ -87,16 +91,23 @@ def query(
             df = ordered(df, *order_by, ties=ties, profile=profile)
         return project(limited(df, limit, profile), columns)
     if profile.limit_first:
+        if len(aggregates) > 1 or len(group_by) > 1:
+            raise ValueError("the compatible profile has one aggregate and one key in a query")
+        for c in columns:
+            if c != "*" and c not in [a[2] for a in aggregates]:
+                column_of(df, c)
         if limit:
             df = limited(ordered(df, *order_by, ties=ties, profile=profile) if order_by and not group_by else df.orderBy(*ties) if ties else df, limit, profile)
-        out = aggregated(df, aggregates[:1], group_by[:1], profile)
+        out = aggregated(df, aggregates, group_by, profile)
         if group_by and order_by:
-            out = group_ordered(out, group_by[0], order_by, aggregates[0][2])
+            # a name that begins like the aggregate's means the aggregate
+            name = aggregates[0][2] if order_by[0].upper().startswith(aggregates[0][0].upper()) else order_by[0]
+            out = group_ordered(out, group_by[0], (name, order_by[1]), aggregates[0][2])
         return out
     out = aggregated(df, aggregates, group_by, profile)
     if order_by:
         out = ordered(out, *order_by, ties=ties, profile=profile)
-    return limited(out, limit, profile)
+    return project(limited(out, limit, profile), columns)
 
 
 def group_ordered(groups: DataFrame, key: str, order_by: tuple[str, bool], value: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.compat import COMPATIBLE, STANDARD, aggregate, exact_sum, predicate
+from larkspur.functions.compat import COMPATIBLE, STANDARD, aggregate, unquoted
 from larkspur.operators import columns as C
 from larkspur.operators import rows as R
 from larkspur.operators import select as S
+from larkspur.sources import tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,8 +40,34 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").withColumn("segment", F.nullif("c_mktsegment", F.lit("BUILDING")))
 
 
+@contextmanager
+def scratch(spark: SparkSession, df: DataFrame, key: Sequence[str]) -> Iterator[str]:
+    """A table in the catalog with the rows of df, dropped at the end."""
+    name = f"scratch_{uuid.uuid4().hex[:12]}"
+    tables.create(spark, name, [(f.name, tables.declared(f.dataType)) for f in df.schema], key)
+    try:
+        tables.append(spark, name, df)
+        yield name
+    finally:
+        tables.drop(spark, name)
+
+
+@contextmanager
+def folder(spark: SparkSession) -> Iterator[str]:
+    """A folder in the warehouse, deleted at the end."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"), f"text-{uuid.uuid4().hex}")
+    try:
+        yield where.toString()
+    finally:
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def local(df: DataFrame) -> DataFrame:
+    """The few rows of a description or a small table, apart from the table that they were read from."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 SEGMENTS = "(SELECT *, NULLIF(c_mktsegment, 'BUILDING') AS segment FROM customer)"
-DSUM = "CAST(SUM(CAST({0} AS DECIMAL(18,2))) AS DOUBLE)"
 
 
 # scan, projection, filter
@@ -95,13 +124,9 @@ def filter_several(spark, sf_dir):
     return S.query(table(spark, sf_dir, "customer"), ["c_custkey"], [("c_mktsegment", ">=", "HOUSEHOLD"), ("c_acctbal", "<=", 100.0), ("c_nationkey", "<>", 7)])
 
 
-@registered("SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000007' OR c_name = 'Customer#7'")
+@registered("SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000007'")
 def filter_unquoted_literal(spark, sf_dir):
-    df = table(spark, sf_dir, "customer")
-    from larkspur.functions.compat import unquoted
-
-    found = predicate(df["c_name"], "=", unquoted(" 'Customer#000000007' "), COMPATIBLE) | predicate(df["c_name"], "=", unquoted('"Customer#7"'), COMPATIBLE)
-    return df.filter(found).select("c_custkey", "c_name")
+    return S.query(table(spark, sf_dir, "customer"), ["c_custkey", "c_name"], ("c_name", "=", unquoted(" 'Customer#000000007' ")), profile=COMPATIBLE)
 
 
 # aggregation
@@ -118,14 +143,15 @@ def count_column_compat(spark, sf_dir):
     return df.agg(aggregate("COUNT", df["segment"], COMPATIBLE).alias("every_row"), aggregate("COUNT", df["segment"], STANDARD).alias("known"))
 
 
-@registered(f"SELECT {DSUM.format('o_totalprice')} AS total FROM orders")
+@registered("SELECT SUM(l_quantity) AS total FROM lineitem")
 def sum_global(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(exact_sum(F.col("o_totalprice")).alias("total"))
+    # whole numbers: the sum doesn't depend on the order of rows
+    return S.query(table(spark, sf_dir, "lineitem"), aggregates=[("SUM", "l_quantity", "total")])
 
 
-@registered(f"SELECT {DSUM.format('o_totalprice')} / COUNT(o_totalprice) AS mean FROM orders")
+@registered("SELECT AVG(l_quantity) AS mean FROM lineitem")
 def avg_global(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg((exact_sum(F.col("o_totalprice")) / F.count("o_totalprice")).alias("mean"))
+    return S.query(table(spark, sf_dir, "lineitem"), aggregates=[("AVG", "l_quantity", "mean")], profile=COMPATIBLE)
 
 
 @registered("SELECT CAST(MIN(c_acctbal) AS DOUBLE) AS least FROM customer")
@@ -153,19 +179,25 @@ def group_count(spark, sf_dir):
     return S.query(table(spark, sf_dir, "lineitem"), aggregates=[("COUNT", None, "n")], group_by=["l_returnflag"])
 
 
-@registered(f"""
-SELECT l_shipmode, {DSUM.format('d')} AS total, {DSUM.format('d')} / COUNT(d) AS mean, MIN(d) AS least, MAX(d) AS most, COUNT(d) AS known
-FROM (SELECT l_linestatus AS l_shipmode, NULLIF(l_discount, 0) AS d FROM lineitem) GROUP BY l_shipmode
+@registered("""
+SELECT l_linestatus, SUM(q) AS total, AVG(q) AS mean, MIN(q) AS least, MAX(q) AS most, COUNT(q) AS known
+FROM (SELECT l_linestatus, NULLIF(l_quantity, 1) AS q FROM lineitem) GROUP BY l_linestatus
 """)
 def group_sum_avg_min_max(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("l_shipmode"), F.nullif("l_discount", F.lit(0.0)).alias("d"))
-    return df.groupBy("l_shipmode").agg(
-        exact_sum(F.col("d")).alias("total"),
-        (exact_sum(F.col("d")) / F.count("d")).alias("mean"),
-        aggregate("MIN", F.col("d")).alias("least"),
-        aggregate("MAX", F.col("d")).alias("most"),
-        aggregate("COUNT", F.col("d")).alias("known"),
-    )
+    df = table(spark, sf_dir, "lineitem").withColumn("q", F.nullif("l_quantity", F.lit(1.0)))
+    wanted = [("SUM", "q", "total"), ("AVG", "q", "mean"), ("MIN", "q", "least"), ("MAX", "q", "most"), ("COUNT", "q", "known")]
+    return S.query(df, aggregates=wanted, group_by=["l_linestatus"])
+
+
+@registered("SELECT l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY l_linestatus")
+def group_shape_compat(spark, sf_dir):
+    return S.query(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_linestatus"], aggregates=[("COUNT", "l_tax", "n")], group_by=["l_linestatus"], profile=COMPATIBLE)
+
+
+@registered("SELECT SUM(l_quantity) AS total, l_returnflag FROM lineitem GROUP BY l_returnflag")
+def group_select_list(spark, sf_dir):
+    wanted = [("SUM", "l_quantity", "total"), ("COUNT", None, "n")]
+    return S.query(table(spark, sf_dir, "lineitem"), ["total", "l_returnflag"], aggregates=wanted, group_by=["l_returnflag"])
 
 
 @registered("SELECT NULLIF(l_returnflag, 'N') AS flag, COUNT(*) AS n FROM lineitem GROUP BY 1")
@@ -202,11 +234,16 @@ def order_limit_desc(spark, sf_dir):
     return S.query(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"], order_by=("o_totalprice", True), ties=["o_orderkey"], limit=10)
 
 
-@registered("SELECT n_name, CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 0) ASC NULLS FIRST, n_nationkey) AS INTEGER) AS place FROM nation")
+@registered("SELECT n_name FROM nation ORDER BY NULLIF(n_regionkey, 0) ASC NULLS FIRST, n_nationkey LIMIT 7")
 def order_nulls(spark, sf_dir):
-    # nation has 25 rows at any scale: the one window over all of them is bounded
-    region = F.nullif("n_regionkey", F.lit(0))
-    return table(spark, sf_dir, "nation").select("n_name", F.row_number().over(Window.orderBy(region.asc_nulls_first(), "n_nationkey")).alias("place"))
+    df = table(spark, sf_dir, "nation").withColumn("r", F.nullif("n_regionkey", F.lit(0)))
+    return S.query(df, ["n_name"], order_by=("r", False), ties=["n_nationkey"], limit=7)
+
+
+@registered("SELECT n_name FROM nation ORDER BY COALESCE(NULLIF(n_name, 'CHINA'), 'NULL'), n_nationkey LIMIT 16")
+def order_nulls_text_compat(spark, sf_dir):
+    df = table(spark, sf_dir, "nation").withColumn("name", F.nullif("n_name", F.lit("CHINA")))
+    return S.query(df, ["n_name"], order_by=("name", False), ties=["n_nationkey"], limit=16, profile=COMPATIBLE)
 
 
 @registered("SELECT n_name FROM nation ORDER BY NULLIF(n_regionkey, 0) DESC NULLS LAST, n_nationkey LIMIT 22")
@@ -215,22 +252,21 @@ def order_nulls_desc_hidden(spark, sf_dir):
     return S.query(df, ["n_name"], order_by=("r", True), ties=["n_nationkey"], limit=22)
 
 
-@registered("SELECT c_mktsegment, n, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, c_mktsegment) AS INTEGER) AS place FROM (SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1)")
+@registered("SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, c_mktsegment LIMIT 3")
 def order_by_aggregate(spark, sf_dir):
-    groups = S.query(table(spark, sf_dir, "customer"), aggregates=[("COUNT", None, "n")], group_by=["c_mktsegment"])
-    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "c_mktsegment")))
+    return S.query(table(spark, sf_dir, "customer"), aggregates=[("COUNT", None, "n")], group_by=["c_mktsegment"], order_by=("n", True), ties=["c_mktsegment"], limit=3)
 
 
-@registered("SELECT p_size, CAST(ROW_NUMBER() OVER (ORDER BY CAST(p_size AS VARCHAR)) AS INTEGER) AS place FROM (SELECT DISTINCT p_size FROM part)")
+@registered("SELECT p_size, COUNT(*) AS n FROM part GROUP BY p_size ORDER BY CAST(p_size AS VARCHAR) LIMIT 20")
 def group_key_text_order(spark, sf_dir):
-    groups = S.aggregated(table(spark, sf_dir, "part"), [("COUNT", None, "n")], ["p_size"])
-    return groups.select("p_size", F.row_number().over(Window.orderBy(F.col("p_size").cast("string"))).alias("place"))
+    groups = S.query(table(spark, sf_dir, "part"), aggregates=[("COUNT", None, "n")], group_by=["p_size"], order_by=("p_size", False), profile=COMPATIBLE)
+    return S.limited(groups, 20)
 
 
-@registered(f"SELECT {DSUM.format('o_totalprice')} AS total FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100)")
+@registered("SELECT SUM(l_quantity) AS total FROM (SELECT * FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 100)")
 def limit_before_sum(spark, sf_dir):
-    top = S.limited(S.ordered(table(spark, sf_dir, "orders"), "o_totalprice", True, ["o_orderkey"], COMPATIBLE), 100, COMPATIBLE)
-    return top.agg(exact_sum(F.col("o_totalprice")).alias("total"))
+    ties = ["l_orderkey", "l_linenumber", "l_partkey"]
+    return S.query(table(spark, sf_dir, "lineitem"), aggregates=[("SUM", "l_quantity", "total")], order_by=("l_extendedprice", True), ties=ties, limit=100, profile=COMPATIBLE)
 
 
 @registered("SELECT o_orderstatus, COUNT(*) AS n FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000) GROUP BY 1")
@@ -281,16 +317,20 @@ def delete_post_state(spark, sf_dir):
     return R.deleted(segments(spark, sf_dir).select("c_custkey", "segment"), ("segment", "=", "MACHINERY"))
 
 
-@registered(f"SELECT COUNT_IF(COALESCE(segment = 'MACHINERY', FALSE)) AS hit, COUNT(*) AS n FROM {SEGMENTS}")
+@registered("SELECT COUNT_IF(segment IS NULL) AS updated, COUNT_IF(segment = 'MACHINERY') AS deleted, COUNT_IF(segment IS NULL OR segment <> 'MACHINERY') AS n_left, COUNT_IF(segment IS NULL) AS n_new FROM " + SEGMENTS)
 def affected_rows(spark, sf_dir):
-    df = segments(spark, sf_dir)
-    return df.agg(F.count_if(predicate(df["segment"], "=", "MACHINERY")).alias("hit"), F.count(F.lit(1)).alias("n"))
+    with scratch(spark, segments(spark, sf_dir).select("c_custkey", "segment"), ["c_custkey"]) as name:
+        changed = tables.update(spark, name, {"segment": "NEW"}, ("segment", "=", None)), tables.delete(spark, name, ("segment", "=", "MACHINERY"))
+        after = tables.rows(spark, name)
+        return spark.createDataFrame([(*changed, after.count(), S.where(after, ("segment", "=", "NEW")).count())], "updated long, deleted long, n_left long, n_new long")
 
 
-@registered("SELECT COUNT(*) AS n, 2 AS columns_kept FROM region WHERE FALSE")
+@registered("SELECT COUNT(*) AS removed, 0::BIGINT AS n_left, 2 AS columns_kept FROM region")
 def truncate_count(spark, sf_dir):
-    emptied = table(spark, sf_dir, "region").limit(0)
-    return emptied.agg(F.count(F.lit(1)).alias("n"), F.lit(len(emptied.columns)).alias("columns_kept"))
+    with scratch(spark, table(spark, sf_dir, "region"), ["r_regionkey"]) as name:
+        removed = tables.truncate(spark, name)
+        after = tables.rows(spark, name)
+        return spark.createDataFrame([(removed, after.count(), len(after.columns))], "removed long, n_left long, columns_kept int")
 
 
 # changes of columns, keys
@@ -332,9 +372,50 @@ def add_pk_nulls(spark, sf_dir):
     return S.aggregated(R.null_keys(segments(spark, sf_dir), ["c_custkey", "segment"]), [("COUNT", None, "n")])
 
 
-@registered("SELECT * FROM (VALUES ('n_name', 'VARCHAR', ''), ('n_nationkey', 'INT', 'PRIMARY KEY'), ('n_regionkey', 'INT', '')) AS t(column_name, data_type, key)")
+@registered("""
+SELECT 1 AS position, 'n_nationkey' AS column_name, 'INT' AS data_type, 'PRIMARY KEY' AS key UNION ALL SELECT 2, 'n_name', 'VARCHAR', '' UNION ALL SELECT 3, 'n_regionkey', 'INT', ''
+""")
 def describe_table(spark, sf_dir):
-    from larkspur.sources.tables import _declared
-
-    fields = table(spark, sf_dir, "nation").schema
-    return spark.createDataFrame([(f.name, _declared(f.dataType), "PRIMARY KEY" if f.name == "n_nationkey" else "") for f in fields], "column_name string, data_type string, key string")
+    with scratch(spark, table(spark, sf_dir, "nation"), ["n_nationkey"]) as name:
+        return local(tables.describe(spark, name))
+
+
+@registered("SELECT 2 AS n_columns, COUNT(*) AS n_rows, '(r_regionkey, r_name)' AS primary_key FROM region")
+def describe_details(spark, sf_dir):
+    with scratch(spark, table(spark, sf_dir, "region"), ["r_regionkey", "r_name"]) as name:
+        return local(tables.details(spark, name))
+
+
+@registered("SELECT r_regionkey::BIGINT AS id, r_name, NULL::DOUBLE AS size FROM region")
+def altered_table(spark, sf_dir):
+    with scratch(spark, table(spark, sf_dir, "region").withColumn("extra", F.lit("x")), ["r_regionkey"]) as name:
+        tables.drop_column(spark, name, "extra")
+        tables.rename_column(spark, name, "r_regionkey", "id")
+        tables.add_columns(spark, name, [("size", "VARCHAR")])
+        tables.modify_column(spark, name, "size", "DOUBLE")
+        tables.drop_primary_key(spark, name)
+        tables.add_primary_key(spark, name, ["r_name"])
+        return local(tables.rows(spark, name))
+
+
+@registered("SELECT 1::BIGINT AS listed, 0::BIGINT AS under_old_name, COUNT(*) AS n_rows FROM region")
+def renamed_table(spark, sf_dir):
+    with scratch(spark, table(spark, sf_dir, "region"), ["r_regionkey"]) as name:
+        tables.rename(spark, name, f"{name}_new")
+        try:
+            shown = tables.show_tables(spark)
+            found = [shown.filter(F.col("table_name") == x).count() for x in (f"{name}_new", name)]
+            return spark.createDataFrame([(*found, tables.rows(spark, f"{name}_new").count())], "listed long, under_old_name long, n_rows long")
+        finally:
+            tables.rename(spark, f"{name}_new", name)
+
+
+@registered("SELECT * FROM nation")
+def text_table(spark, sf_dir):
+    """Written in the text form and read back; nation has 25 rows at any scale."""
+    df = table(spark, sf_dir, "nation")
+    with folder(spark) as path:
+        text.write_rows(df, f"{path}/rows")
+        text.write_columns(spark, f"{path}/columns", [("n_nationkey", "INT"), ("n_name", "VARCHAR"), ("n_regionkey", "INT")], ["n_nationkey"])
+        back = text.read_rows(spark, f"{path}/rows", text.read_columns(spark, f"{path}/columns")["columns"])
+        return local(back.select(*[F.col(f.name).cast(f.dataType) for f in df.schema]))
\ No newline at end of file

@@ -44,10 +44,10 @@ def described(spark: SparkSession, table: str) -> dict:
     found = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
     if PROPERTY in found:
         return json.loads(found[PROPERTY])
-    return {"columns": [[f.name, _declared(f.dataType)] for f in spark.table(table).schema], "primary_key": None}
+    return {"columns": [[f.name, declared(f.dataType)] for f in spark.table(table).schema], "primary_key": None}
 
 
-def _declared(kind: T.DataType) -> str:
+def declared(kind: T.DataType) -> str:
     if isinstance(kind, (T.IntegerType, T.LongType, T.ShortType)):
         return "INT"
     return "DOUBLE" if isinstance(kind, (T.DoubleType, T.FloatType)) else "VARCHAR"
@@ -55,7 +55,8 @@ def _declared(kind: T.DataType) -> str:
 
 def _put(spark: SparkSession, table: str, columns: Sequence, key: Sequence[str] | None) -> None:
     text = json.dumps({"columns": [list(c) for c in columns], "primary_key": list(key) if key else None})
-    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{PROPERTY}' = '{text}')")
+    literal = text.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{PROPERTY}' = '{literal}')")
 
 
 def create(spark: SparkSession, table: str, columns: Sequence[tuple[str, str]], primary_key: str | Sequence[str] | None = None, profile: Profile = STANDARD) -> None:
@@ -80,7 +81,11 @@ def rows(spark: SparkSession, table: str) -> DataFrame:
 
 
 def rewrite(spark: SparkSession, table: str, df: DataFrame, columns: Sequence | None = None, key: Sequence[str] | None = None) -> None:
-    """Publishes df as the table's rows: written beside it first, then swapped in."""
+    """Publishes df as the table's rows: written beside it first, then swapped in by two renames.
+
+    One writer at a time: Spark's catalog has no locks. A crash between the renames leaves the old and the new rows in
+    tables of the same name with a suffix.
+    """
     now = described(spark, table)
     fresh, old = f"{table}__{uuid.uuid4().hex[:12]}", f"{table}__{uuid.uuid4().hex[:12]}"
     df.write.format("parquet").saveAsTable(fresh)
@@ -100,11 +105,16 @@ def insert(spark: SparkSession, table: str, values: Sequence[Sequence[str | None
 
 
 def append(spark: SparkSession, table: str, df: DataFrame) -> None:
-    """Appends a DataFrame under the table's key."""
+    """Appends a DataFrame under the table's key. It is written beside the table first, so what is checked is what is appended."""
     about = described(spark, table)
-    incoming = df.select(*[c for c, _ in about["columns"]])
-    row_changes.check_key(spark.table(table), incoming, about["primary_key"])
-    incoming.write.insertInto(table)
+    staged = f"{table}__{uuid.uuid4().hex[:12]}"
+    df.select(*[c for c, _ in about["columns"]]).write.format("parquet").saveAsTable(staged)
+    try:
+        incoming = spark.table(staged)
+        row_changes.check_key(spark.table(table), incoming, about["primary_key"])
+        incoming.write.insertInto(table)
+    finally:
+        spark.sql(f"DROP TABLE {staged}")
 
 
 def update(spark: SparkSession, table: str, assignments: dict[str, object], condition: Condition, profile: Profile = STANDARD) -> int:
@@ -149,8 +159,8 @@ def add_columns(spark: SparkSession, table: str, columns: Sequence[tuple[str, st
     """New columns, null in the rows that exist: Parquet tables take them without a rewrite."""
     about = described(spark, table)
     column_changes.added(spark.table(table), columns, profile)
-    declared = ", ".join(f"`{c}` {row_changes.type_of(t, profile).simpleString()}" for c, t in columns)
-    spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({declared})")
+    added = ", ".join(f"`{c}` {row_changes.type_of(t, profile).simpleString()}" for c, t in columns)
+    spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({added})")
     _put(spark, table, [*about["columns"], *columns], about["primary_key"])
 
 
@@ -195,3 +205,10 @@ def describe(spark: SparkSession, table: str) -> DataFrame:
     about = described(spark, table)
     found = [(i + 1, c, t, "PRIMARY KEY" if c in (about["primary_key"] or ()) else "") for i, (c, t) in enumerate(about["columns"])]
     return spark.createDataFrame(found, "position int, column_name string, data_type string, key string")
+
+
+def details(spark: SparkSession, table: str) -> DataFrame:
+    """One row: n_columns, n_rows, primary_key ("(a, b)", or "None")."""
+    about = described(spark, table)
+    key = f"({', '.join(about['primary_key'])})" if about["primary_key"] else "None"
+    return spark.createDataFrame([(len(about["columns"]), spark.table(table).count(), key)], "n_columns int, n_rows long, primary_key string")
