@@ -9,18 +9,21 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from larkspur.llm.blocks import text_blocks, with_column
+from larkspur.llm.common import free_name
 
 # fixed values of the HTML standard: void elements, elements of raw text, elements that aren't shown
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title iframe noembed noframes datalist object video audio canvas svg math rp".split())
+UNSEEN = frozenset("head script style template title iframe noembed noframes datalist object video audio canvas rp annotation annotation-xml".split())
 #: Blocks that stand between blank lines, and blocks that only start a line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure hr fieldset".split())
 PLAIN = frozenset("html body div section article nav header footer main aside address form li dt dd caption figcaption details summary legend center dir hgroup search option optgroup select xmp".split())
@@ -48,11 +51,20 @@ IN_HEAD = frozenset("base link meta script style title template noscript html he
 SCOPE = frozenset({"table", "td", "th", "html"})
 #: Columns of a table are padded to this width at most; wider cells stay whole and push their line out.
 MAX_PAD = 80
-MAX_SPAN = 1000
-
-# every alternative runs on to its end or to the end of the page, so nothing is scanned twice
-TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z))""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
+#: Columns that are aligned; cells beyond them follow as they come.
+MAX_COLUMNS = 1000
+# fixed values of the HTML standard: the most columns and rows that a cell spans
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+
+# White space, a name and its value: a quote opens a value only after "=", and is a letter like others elsewhere. Every
+# alternative runs on to its end or to the end of the page, so nothing is scanned twice.
+NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+IS = r"[ \t\n\f\r]*+=[ \t\n\f\r]*+"
+VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+)"""
+ATTRIBUTE = re.compile(f"({NAME})(?:{IS}({VALUE})?+)?+")
+ELEMENT = rf"(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{NAME}(?:{IS}{VALUE}?+)?+)*+)(>|\Z)"
+COMMENT = r"!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|/(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))"
+TAG = re.compile(f"<(?:{ELEMENT}|{COMMENT})", re.DOTALL)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 NO_DISPLAY = re.compile(r"display\s*:\s*none")
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
@@ -80,38 +92,37 @@ def build(page: str) -> Node:
     """The tree of a page; text is kept as strings among the children."""
     root = Node("#root", {})
     stack = [root]
-    opened: dict[str, int] = {}  # how many elements of a name are open
+    where: dict[str, list[int]] = {}  # from a name to the places of its open elements in the stack
+
+    def last(tags) -> int:
+        """The place of the innermost open element of these names, 0 for none."""
+        return max((where[x][-1] for x in tags if where.get(x)), default=0)
 
     def close_to(i: int) -> None:
         for node in stack[i:]:
-            opened[node.tag] -= 1
+            where[node.tag].pop()
         del stack[i:]
 
     def imply(tag: str) -> None:
-        if opened.get("head") and tag not in IN_HEAD:
-            at = max(i for i, x in enumerate(stack) if x.tag == "head")
-            close_to(at)
-        if tag in CLOSES_P and opened.get("p"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close_to(i)
-                    break
-                if stack[i].tag in SCOPE:
-                    break
+        if where.get("head") and tag not in IN_HEAD:
+            close_to(where["head"][-1])
+        if tag in CLOSES_P and where.get("p") and where["p"][-1] > last(SCOPE):
+            close_to(where["p"][-1])
         if tag in IMPLIED:
             closes, until = IMPLIED[tag]
-            if any(opened.get(x) for x in closes):
-                lowest = 0
-                for i in range(len(stack) - 1, 0, -1):
-                    name = stack[i].tag
-                    if name in until:
-                        break
-                    if name in closes:
-                        lowest = i
-                        if tag in ("li", "dt", "dd", "option"):
-                            break
-                if lowest:
-                    close_to(lowest)
+            beyond = last(until)
+            if tag in ("li", "dt", "dd", "option"):
+                place = last(closes)
+            else:
+                inside = [where[x][bisect_right(where[x], beyond)] for x in closes if where.get(x) and where[x][-1] > beyond]
+                place = min(inside, default=0)
+            if place > beyond:
+                close_to(place)
+
+    def text(part: str) -> None:
+        if stack[-1].tag == "head" and not part.isspace():
+            close_to(len(stack) - 1)
+        stack[-1].children.append(part)
 
     at = 0
     for_text = page.find
@@ -119,38 +130,34 @@ def build(page: str) -> Node:
         start = for_text("<", at)
         if start < 0:
             if at < len(page):
-                stack[-1].children.append(page[at:])
+                text(page[at:])
             return root
         found = TAG.match(page, start)
         if found is None:  # a bare "<" is text
-            stack[-1].children.append(page[at : start + 1])
+            text(page[at : start + 1])
             at = start + 1
             continue
         if start > at:
-            stack[-1].children.append(page[at:start])
+            text(page[at:start])
         at = found.end()
-        if found[2] is None:
-            continue
+        if found[2] is None or not found[4]:
+            continue  # a comment, or a tag that the page's end cuts off
         tag = found[2].lower()
         if found[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif tag == "p" and not opened.get("p"):
+            elif tag == "p" and not where.get("p"):
                 stack[-1].children.append(Node("p", {}))
-            elif opened.get(tag) and tag not in ("html", "body"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        close_to(i)
-                        break
-                    if stack[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                        break
+            elif where.get(tag) and tag not in ("html", "body"):
+                if tag in ("table", "tr", "tbody", "thead", "tfoot", "td", "th") or where[tag][-1] > last(SCOPE):
+                    close_to(where[tag][-1])
             continue
-        if tag in ("html", "body") and opened.get(tag):
+        if tag in ("html", "body") and where.get(tag):
             continue
         imply(tag)
         node = Node(tag, attributes_of(found[3]) if found[3] else {})
         stack[-1].children.append(node)
-        if tag in VOID or (found[3] and found[3].endswith("/") and tag in ("svg", "math", "path")):
+        if tag in VOID or (found[3] and found[3].endswith("/") and tag in ("svg", "math", "path", "g", "text", "use", "rect", "circle", "line")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE).search(page, at)
@@ -160,8 +167,8 @@ def build(page: str) -> Node:
             close = page.find(">", stop)
             at = len(page) if not end or close < 0 else close + 1
             continue
+        where.setdefault(tag, []).append(len(stack))
         stack.append(node)
-        opened[tag] = opened.get(tag, 0) + 1
 
 
 class Sink:
@@ -228,32 +235,41 @@ def number(text: str | None, default: int) -> int:
 
 def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Lines of a table whose cells are (text, columns, rows): columns are padded to their widest cell."""
-    grid: list[list[str | None]] = []
-    taken: dict[tuple[int, int], bool] = {}
-    for r, row in enumerate(rows):
-        line: list[str | None] = []
+    left: list[int] = []  # for each column, the rows that a cell above still takes
+    placed: list[list[tuple[int, str, int]]] = []
+    for row in rows:
+        c, line = 0, []
         for text, across, down in row:
-            while taken.pop((r, len(line)), False):
-                line.append(None)
-            for c in range(len(line), len(line) + across):
-                for below in range(r + 1, min(r + down, len(rows))):
-                    taken[below, c] = True
-            line += [text, *[None] * (across - 1)]
-        grid.append(line)
-    spans = [[a for _, a, _ in row] for row in rows]
-    widths: dict[int, int] = {}
-    for line, across in zip(grid, spans, strict=True):
-        single = iter(across)
-        for c, text in enumerate(line):
-            if text is not None and next(single, 1) == 1:
-                widest = max(map(len, text.split("\n")))
-                if widest <= MAX_PAD:
-                    widths[c] = max(widths.get(c, 0), widest)
+            while c < len(left) and left[c]:
+                c += 1
+            line.append((c, text, across))
+            to = min(c + across, MAX_COLUMNS)
+            left += [0] * (to - len(left))
+            left[c:to] = [down] * max(0, to - c)
+            c += across
+        placed.append(line)
+        left = [max(0, n - 1) for n in left]
+    widths = [0] * len(left)
+    for line in placed:
+        for c, text, across in line:
+            widest = max(map(len, text.split("\n")))
+            if across == 1 and c < len(widths) and widest <= MAX_PAD:
+                widths[c] = max(widths[c], widest)
+    starts = [0, *accumulate(w + 2 for w in widths)]
     out = []
-    for line in grid:
-        cells = [(x or "").split("\n") for x in line]
-        for k in range(max(map(len, cells), default=0)):
-            out.append("  ".join((x[k] if k < len(x) else "").ljust(widths.get(c, 0)) for c, x in enumerate(cells)).rstrip())
+    for line in placed:
+        cells = [(c, text.split("\n"), across) for c, text, across in line]
+        for k in range(max((len(x) for _, x, _ in cells), default=0)):
+            parts, at = [], 0
+            for c, x, across in cells:
+                text = x[k] if k < len(x) else ""
+                here, to = min(c, len(widths)), min(c + across, len(widths))
+                parts.append(" " * (starts[here] - starts[at]))
+                parts.append(text.ljust(widths[here]) + "  " if here < len(widths) else text + "  ")
+                at = min(here + 1, len(widths))
+                parts.append(" " * (starts[to] - starts[at]) if to > at else "")
+                at = max(at, to)
+            out.append("".join(parts).rstrip())
     return [x for x in out if x]
 
 
@@ -263,6 +279,7 @@ def render(root: Node) -> str:
     tables: list[list[list]] = []
     lists: list[list] = []  # [ordered, next number]
     pre = 0
+    drawings: list[bool] = []  # whether each open svg is visible: of its contents, only its text elements are text
     todo: list = [(root, True, False)]  # (node or text, visible, leaving)
     while todo:
         node, visible, leaving = todo.pop()
@@ -281,8 +298,8 @@ def render(root: Node) -> str:
                     if not rows:
                         rows.append([])
                     a = node.attributes
-                    across = min(max(number(a.get("colspan"), 1), 1), MAX_SPAN)
-                    down = min(max(number(a.get("rowspan"), 1), 1), MAX_SPAN)
+                    across = min(max(number(a.get("colspan"), 1), 1), MAX_COLSPAN)
+                    down = min(max(number(a.get("rowspan"), 1), 1), MAX_ROWSPAN)
                     rows[-1].append((cell, across, down))
                 else:
                     sinks[-1].add(cell + " ")
@@ -304,6 +321,8 @@ def render(root: Node) -> str:
                     sink.indent.pop()
             elif tag in ("pre", "xmp"):
                 pre -= 1
+            elif tag == "svg":
+                drawings.pop()
             if tag in BLOCKS:
                 sink.block(tag in SPACED and not (tag in ("ul", "ol", "menu") and lists))
             continue
@@ -316,6 +335,11 @@ def render(root: Node) -> str:
                 continue
             if shown := VISIBILITY.findall(style):
                 visible = shown[-1] == "visible"
+        if tag == "svg":
+            drawings.append(visible)
+            visible = False
+        elif tag == "text" and drawings:
+            visible = drawings[-1]
         if tag == "br":
             sink.end(force=True)
             continue
@@ -358,10 +382,11 @@ def visible_text(page: str) -> str:
 def extract(pages: DataFrame, page: str = "html", into: str = "text") -> DataFrame:
     """The columns of pages without `page`, and `into`: the page's visible text, empty for a null or empty page.
 
-    Rows, repeats and null keys stay as they are; a column named like `into` is replaced. An empty table stays empty.
+    Rows, repeats and null keys stay as they are; a column named like `into` is replaced. An empty table stays empty. A page
+    may be of any length: its time and memory grow in proportion to it.
     """
-    kept = pages.drop(into) if into != page else pages.withColumnRenamed(page, f"_{page}")
-    source = page if into != page else f"_{page}"
+    source = page if into != page else free_name(pages, page)
+    kept = pages.drop(into) if into != page else pages.withColumnRenamed(page, source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_blocks(batches, source):
