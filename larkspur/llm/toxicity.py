@@ -28,6 +28,8 @@ MAX_TRAIN = 20_000
 MIN_TEXTS, MIN_PRECISION = 3, 0.9
 #: Characters of word beginnings that can be terms.
 PREFIXES = (4, 5, 6)
+#: Ends a term that is a word beginning; no word has white space, while one may well end in a star.
+OPEN = " "
 #: Edits allowed for a term of at least so many characters.
 EDITS = ((6, 1), (10, 2))
 #: What a hit with 0, 1 and 2 edits counts.
@@ -52,7 +54,7 @@ FEATURES = ["plain_mass", "quoted_mass", "density"]
 class LexiconAutomaton:
     """The trie of the terms times their Levenshtein automata, made deterministic step by step.
 
-    A state is a set of (trie node, edits so far); the steps taken are remembered. A term that ends in "*" is a word
+    A state is a set of (trie node, edits so far); the steps taken are remembered. A term that ends in OPEN is a word
     beginning: once it is reached, any further characters are accepted.
     """
 
@@ -61,7 +63,7 @@ class LexiconAutomaton:
         self.most: list[int] = [0]  # edits allowed by the longest term below a node
         self.ends: list[tuple[int, bool]] = [(-1, False)]  # edits allowed at a node that ends a term (-1: none), and whether it is a beginning
         for term in terms:
-            open_ended, letters = term.endswith("*"), term.rstrip("*")
+            open_ended, letters = term.endswith(OPEN), term.removesuffix(OPEN)
             edits = max((k for n, k in EDITS if len(letters) >= n), default=0)
             node = 0
             self.most[0] = max(self.most[0], edits)
@@ -220,18 +222,19 @@ def with_hits(docs: DataFrame, terms: tuple[str, ...], text: str = "text") -> Da
 def training_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_TRAIN) -> DataFrame:
     """text and y of distinct labelled texts outside the held-out fold, from at most `most` rows.
 
-    A key with several labels has the largest; null labels and null keys teach nothing. The bound on the labelled keys
-    is what lets them be broadcast.
+    A key with several labels has the largest, one with several texts the least; null labels and null keys teach nothing.
+    The bound on the labelled keys is what lets them be broadcast.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).dropna()
     known = known.filter(fold("key", FOLDS) != HELD).groupBy("key").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("key"), "key").limit(most)
     plain = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return plain.join(F.broadcast(known), "key").dropDuplicates(["key"]).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
+    learned = plain.join(F.broadcast(known), "key").groupBy("key").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    return learned.groupBy("text").agg(F.max("y").alias("y"))
 
 
 def candidates(train: DataFrame) -> DataFrame:
-    """term, n_toxic, n_other: in how many texts of each kind a word or a word beginning ("abcd*") stands."""
+    """term, n_toxic, n_other: in how many texts of each kind a word or a word beginning (OPEN at its end) stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_blocks(batches, "text"):
@@ -240,7 +243,7 @@ def candidates(train: DataFrame) -> DataFrame:
                 words = {core_of(w) for w in x.lower().split()}
                 terms = {w for w in words if 3 <= len(w) <= 40}
                 for w in words:
-                    terms.update(w[:n] + "*" for n in PREFIXES if len(w) > n)
+                    terms.update(w[:n] + OPEN for n in PREFIXES if len(w) > n)
                 for t in terms:
                     counts.setdefault(t, [0, 0])[0 if y else 1] += 1
             yield pa.RecordBatch.from_pydict({"term": list(counts), "t": [c[0] for c in counts.values()], "o": [c[1] for c in counts.values()]}, schema=pa.schema([("term", pa.string()), ("t", pa.int64()), ("o", pa.int64())]))
@@ -254,17 +257,17 @@ def lexicon(train: DataFrame) -> tuple[str, ...]:
     counts = {r["term"]: r["n_toxic"] for r in good.select("term", "n_toxic").toLocalIterator()}
     most: dict[str, int] = {}  # texts of the most frequent whole word with a beginning
     for t, n in counts.items():
-        if not t.endswith("*"):
+        if not t.endswith(OPEN):
             for k in PREFIXES:
                 if len(t) >= k:
                     most[t[:k]] = max(n, most.get(t[:k], 0))
     chosen: dict[str, None] = {}
-    for t, n in sorted(counts.items(), key=lambda x: (len(x[0].rstrip("*")), x[0])):
-        letters = t.rstrip("*")
-        if any(letters[:k] + "*" in chosen for k in PREFIXES if k < len(letters) or (k == len(letters) and not t.endswith("*"))):
+    for t, n in sorted(counts.items(), key=lambda x: (len(x[0].removesuffix(OPEN)), x[0])):
+        letters = t.removesuffix(OPEN)
+        if any(letters[:k] + OPEN in chosen for k in PREFIXES if k < len(letters) or (k == len(letters) and not t.endswith(OPEN))):
             continue
         # a beginning that one whole word accounts for is left to the word, which may have misspellings
-        if t.endswith("*") and most.get(letters, 0) >= 0.8 * n:
+        if t.endswith(OPEN) and most.get(letters, 0) >= 0.8 * n:
             continue
         chosen[t] = None
     return tuple(chosen)
