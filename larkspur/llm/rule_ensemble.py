@@ -25,6 +25,8 @@ MAX_TRAIN = 20_000
 #: Rows with this remainder of crc32(key as text) are held out.
 FOLDS, HELD = 5, 0
 TREES, DEPTH, SEED = 12, 3, 11
+#: Partitions of the rows to learn from.
+PARTS = 8
 LASSO = 0.0005
 #: A document is accepted from this score on.
 ACCEPT = 0.3
@@ -88,14 +90,16 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_TRAIN) -> DataFrame:
     """FEATURES and y of the labelled rows outside the held-out fold, at most `most`.
 
-    A key with several labels has the largest; null labels and null keys teach nothing. The sample is chosen from the
+    A key with several labels has the largest, one with several texts the least; null labels and null keys teach nothing.
+    Rows are dealt and sorted by key, so that a rerun sees them in the same order and fits the same model. The sample is chosen from the
     labels alone; its bound lets its keys be broadcast, so the texts of other rows don't move and aren't analysed.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).dropna()
     known = known.filter(fold("key", FOLDS) != HELD).groupBy("key").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("key"), "key").limit(most)
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key")
-    return with_statistics(plain, "text").select(F.col("row.key").alias("key"), F.col("row.y").alias("y"), *FEATURES).dropDuplicates(["key"]).select("y", *FEATURES)
+    plain = docs.select(F.col(key).alias("key"), text_of(text).alias("text")).join(F.broadcast(known), "key")
+    learned = plain.groupBy("key").agg(F.min("text").alias("text"), F.max("y").alias("y")).repartition(PARTS, "key").sortWithinPartitions("key")
+    return with_statistics(learned, "text").select(F.col("row.y").alias("y"), *FEATURES)
 
 
 def _paths(node, tests: tuple = ()) -> list[tuple]:
@@ -115,7 +119,7 @@ def hasattr_java(node, kind: str) -> bool:
 
 def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:
     """Trees for the rules, then a lasso over rule indicators. Without both labels the score is the labels' mean, 0.5 if none."""
-    train = train.coalesce(4).cache()
+    train = train.cache()
     try:
         n, ones = train.agg(F.count(F.lit(1)), F.sum("y")).first()
         if not n or not 0 < ones < n:
