@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
 import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +67,14 @@ def all_letters(core: bytes) -> bool:
     if core.isascii():
         return core.isalpha()
     word = core.decode()
-    return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+    return word.isalpha() and not parting_letters().search(word)
+
+
+@cache
+def parting_letters() -> re.Pattern:
+    """The letters that come apart, each by itself, when they are composed and lower-cased."""
+    letters = (c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalpha())
+    return re.compile(f"[{''.join(c for c in letters if not unicodedata.normalize('NFC', c).lower().isalpha())}]")
 
 
 def learned(tokenizer, known: dict[bytes, bytes], units: list[bytes], kind: str) -> None:
