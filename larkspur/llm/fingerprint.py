@@ -96,7 +96,8 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     The edited text: the last floor(n_chars / 3) code points replaced by as many from the start of the next document.
     near_edited and near_next are 1 where the canonical bytes are equal and else 0, as the digest is exact. A null text
-    counts as empty; an empty table gives no rows.
+    counts as empty; an empty table gives no rows. Null keys come last; rows of equal keys follow each other by digest and
+    text, so each of repeated rows is followed by its like, and each comes back. Other columns aren't read.
     """
     clash = written(collisions(docs, text), "clashes").withColumn("clash", F.lit(True))
     hashed = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))

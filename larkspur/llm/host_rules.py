@@ -14,7 +14,7 @@ from larkspur.llm.textstats import COUNTS, with_counts
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Symbols per word, mean word length and repeated lines beyond which a text counts against its host.
+#: Symbols per word and mean word length beyond which a text counts against its host.
 MAX_SYMBOLS_PER_WORD = 1
 WORD_LENGTH = (2, 20)
 #: A host whose shrunk failure rate exceeds this is rejected.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import free_name, written
 
 #: Without given weights, a source counts as its number of documents to this power.
 FLATTEN = 0.5
@@ -75,10 +75,11 @@ def mix(docs: DataFrame, rates: DataFrame, key: str = "doc_id", source: str = "s
     """
     made = ["n_copies", "copy", "order_key"]
     kept = [c for c in docs.columns if c not in made]
+    own, cdf = free_name(docs, "mix_source"), free_name(docs, "mix_cdf")
     # written: its size is then known, and Spark broadcasts it where it is small; else the join is dealt by source, skew split
-    steps = written(rates.select(F.col("source").alias("_mix_source"), poisson_cdf(F.col("rate")).alias("_mix_cdf")), "mix-rates")
-    drawn = docs.select(*kept, name_of(source).alias("_mix_source")).join(steps, "_mix_source")
-    drawn = drawn.withColumn("n_copies", copies_of(F.col(key), F.col("_mix_cdf"), seed)).filter("n_copies > 0").drop("_mix_source", "_mix_cdf")
+    steps = written(rates.select(F.col("source").alias(own), poisson_cdf(F.col("rate")).alias(cdf)), "mix-rates")
+    drawn = docs.select(*kept, name_of(source).alias(own)).join(steps, own)
+    drawn = drawn.withColumn("n_copies", copies_of(F.col(key), F.col(cdf), seed)).filter("n_copies > 0").drop(own, cdf)
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
     return copies.withColumn("order_key", order).repartition("order_key").sortWithinPartitions("order_key")

@@ -95,6 +95,13 @@ PAGES = [
     ("plain", "plain"),
     ("<textarea>in <b></textarea>", "in <b>"),
     ("<dl><dt>t<dd>d</dl>", "t\n  d"),
+    ("<p class=it's>hello</p><p>world</p>", "hello\n\nworld"),
+    ("<p>a</p><i ' ><p>b</p>", "a\n\nb"),
+    ("a<!-->b</p>c<!--->d<!-- x --!>e", "ab\n\ncde"),
+    ("<head><title>t</title>Hello", "Hello"),
+    ("<math><mi>x</mi></math> <svg><title>t</title><desc>d</desc><text>label</text></svg>", "x label"),
+    ("<a href=a=\"b>c", "c"),
+    ("</3>x</>y", "xy"),
 ]
 
 
@@ -110,6 +117,63 @@ def test_html_hostile(page):
     assert html_text.visible_text(page).count("x") <= 50
 
 
+@pytest.mark.parametrize("part", ["<tr><td colspan=1000 rowspan=1000>x", "<p><td><span><div>", "<li><ul>", "<b><p '\">", "<!-- "])
+def test_html_time_grows_with_length(part):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_text.visible_text("<table>" + part * n)
+        return time.process_time() - began
+
+    seconds(200)
+    assert seconds(4_000) < 40 * max(seconds(400), 0.01)  # ten times the length; a square would be a hundredfold
+
+
+def test_html_keeps_every_letter():
+    """The letters of random pages against those that Python's own HTML parser finds in the same order."""
+    from html.parser import HTMLParser
+
+    class Letters(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.found = []
+
+        def handle_data(self, data):
+            self.found.append(data)
+
+    r = random.Random(6)
+    parts = ["<p>", "</p>", "<div class=a>", "</div>", '<b title="a>b">', "</b>", "<br/>", "<i data-x='q\"'>", "</i>", "<span hid=1>", "</span>", "&amp;", " ", "\n", "<h1>", "</h1>", "<blockquote>", "</blockquote>", "<pre>", "</pre>"]
+    for _ in range(400):
+        page = "".join(r.choice([*parts, "".join(r.choice("abcdé") for _ in range(3))]) for _ in range(r.randint(1, 60)))
+        plain = Letters()
+        plain.feed(page)
+        plain.close()
+        assert "".join(html_text.visible_text(page).split()) == "".join("".join(plain.found).split()), page
+
+
+CLASHES = ["_mix_source", "_mix_cdf", "_html", "_text", "_toxic", "row", "key", "g", "u", "plain_mass", "copy"]
+
+
+def test_clashing_names(spark):
+    """Columns named like the operators' own come back, unless the docstring says that they are replaced."""
+    texts_ = ["one two three four five six seven"] * 2 + ["", None]
+    given = spark.createDataFrame([(i, t, t, "s", *["v"] * len(CLASHES)) for i, t in enumerate(texts_)], f"doc_id long, text string, html string, source string, {', '.join(f'{c} string' for c in CLASHES)}")
+    for made in (
+        mixing.mix(given, mixing.source_rates(given)),
+        html_text.extract(given, into="html"),
+        html_text.extract(given),
+        byte_bpe.encode(given, RANKS, public_tokenizers.PATTERN),
+        byte_bpe.encode(given, RANKS, public_tokenizers.PATTERN, into="text"),
+        minhash.one_of_each(given),
+        toxicity.scored(given, toxicity.ToxicityModel(("seven",), (1.0, 1.0, 1.0), -1.0)),
+        rule_ensemble.scored(given, rule_ensemble.RuleModel((), 0.0)),
+    ):
+        rows_ = made.collect()
+        assert all(r[c] == "v" for r in rows_ for c in CLASHES if c in made.columns and c != "copy")
+        assert {"doc_id", "_mix_cdf", "row", "key"} <= set(made.columns)
+
+
 def test_suffix_tree(docs, rows, empty):
     got = sorted((tuple(r) for r in suffix_tree.fit_and_score(docs).collect()), key=repr)
     held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 10 == 0
@@ -260,7 +324,13 @@ def test_minhash(docs, rows, width):
 def test_minhash_one_of_each_and_empty(docs, empty):
     kept = minhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct().count()
+    a, b = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "0 1 2 3 4 5 6 7 8 9"
+    rows_ = [(None, a), (None, a + " end"), (7, b), (7, a), (3, a + " last"), (None, None), (5, ""), (5, "")]
+    got = minhash.one_of_each(docs.sparkSession.createDataFrame(rows_, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(7, b), (3, a + " last"), (None, None), (5, "")], key=repr)
+    lone = docs.sparkSession.createDataFrame([(None, a), (None, a + " end")], "doc_id long, text string")
+    assert minhash.one_of_each(lone).count() == 1
+    assert kept.filter("doc_id IS NOT NULL").count() >= minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct().count()
     assert minhash.near_duplicates(empty).count() == 0
 
 
@@ -275,6 +345,44 @@ def test_minhash_chain_of_near_copies(spark):
     assert {r["component_id"] for r in got} == {61}
 
 
+def near_copies(n, edits, seed=4, size=200):
+    """Copies of one text, each with `edits` words of its own, far enough apart that each changes four shingles."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(size)]
+    found = []
+    for i in range(n):
+        words = list(base)
+        for k in r.sample(range(size // 5 - 1), edits):
+            words[5 * k + 2] = f"own{i}x{k}"
+        found.append((i, " ".join(words)))
+    return found
+
+
+@pytest.mark.parametrize("edits", [2, 5, 8])
+def test_minhash_group_around_the_threshold(spark, monkeypatch, edits):
+    """Copies that are all linked, just not linked, or far from it: links are exact, and few of all pairs are compared."""
+    n, found = 300, near_copies(300, edits)
+    counts, whole = [], minhash.compared
+    monkeypatch.setattr(minhash, "compared", lambda pairs, *rest: counts.append(pairs.count()) or whole(pairs, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(found, "doc_id long, text string"), width=4).collect()}
+    assert got == {r[0]: r[2] for r in brute_components(found, 4)}
+    assert sum(counts) < 0.3 * n * (n - 1) / 2 and (len(counts) < 3 or counts[2] < 0.1 * n * (n - 1) / 2)
+
+
+def test_minhash_recall_at_the_threshold():
+    """Pairs of similarity 0.8 exactly: about 1 in 10,000 misses all bands."""
+    import numpy as np
+
+    circulant, r, missed = minhash.Circulant(), np.random.Generator(np.random.PCG64(3)), 0
+    for size in (10, 50, 200):
+        for _ in range(400):
+            union = r.integers(0, 2**63, size, dtype=np.uint64)
+            a, b = union[size // 10 :], union[: size - size // 10]
+            buckets = circulant.buckets(np.stack([circulant.signature(a), circulant.signature(b)]))
+            missed += not (buckets[0] == buckets[1]).any()
+    assert missed <= 3
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(50)] + [(5, 5), (2000, 2000)]
@@ -333,12 +441,12 @@ def brute_edits(word, term):
 
 
 def test_lexicon_automaton():
-    terms = ["idiot", "stupid", "disgusting", "vequ*", "lostra*"]
+    terms = ["idiot", "stupid", "disgusting", "vequ" + toxicity.OPEN, "lostra" + toxicity.OPEN, "f***"]
     automaton, r = toxicity.LexiconAutomaton(terms), random.Random(2)
-    words = terms + ["stupd", "stuupid", "disgstng", "vequelle", "lostrx", "lotraxx", "", "s", "idio", "idiots"]
+    words = terms + ["stupd", "stuupid", "disgstng", "vequelle", "lostrx", "lotraxx", "", "s", "idio", "idiots", "friend", "fish", "f***", "f"]
     for t in terms:
         for _ in range(60):
-            w = list(t.rstrip("*"))
+            w = list(t.removesuffix(toxicity.OPEN))
             for _ in range(r.randint(0, 3)):
                 at = r.randrange(len(w) + 1)
                 w[at : at + r.randint(0, 1)] = r.choice(["", "x", "s"])
@@ -346,9 +454,9 @@ def test_lexicon_automaton():
     for w in words:
         best = -1
         for t in terms:
-            letters = t.rstrip("*")
+            letters = t.removesuffix(toxicity.OPEN)
             most = max((k for n, k in toxicity.EDITS if len(letters) >= n), default=0)
-            heads = [w[:i] for i in range(len(w) + 1)] if t.endswith("*") else [w]
+            heads = [w[:i] for i in range(len(w) + 1)] if t.endswith(toxicity.OPEN) else [w]
             near = min(brute_edits(h, letters) for h in heads)
             if near <= most and (best < 0 or near < best):
                 best = near
@@ -405,6 +513,32 @@ def test_toxicity_held_out_by_language(spark):
             assert held and sum(got[x[0]]["predicted"] == toxic for x in held) >= 0.95 * len(held), (lang, toxic)
 
 
+def test_training_rows_do_not_depend_on_order(spark):
+    """A key with several texts teaches the least of them, however the rows are dealt."""
+    found = [(i, t) for i in range(40) for t in (f"text {i} one two", f"another {i}", None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    for learned in (lambda d: rule_ensemble.training_rows(d, labels, label="label"), lambda d: toxicity.training_texts(d, labels, label="label")):
+        taught = [sorted(map(tuple, learned(spark.createDataFrame(x, "doc_id long, text string").repartition(k)).collect())) for x, k in ((found, 1), (found[::-1], 7))]
+        assert taught[0] == taught[1] and taught[0]
+    rows_ = [rule_ensemble.training_rows(spark.createDataFrame(found, "doc_id long, text string").repartition(k), labels, label="label") for k in (1, 7)]
+    assert rule_ensemble.fit(rows_[0]) == rule_ensemble.fit(rows_[1])
+
+
+def test_rules_compile_to_what_they_say(spark):
+    """The compiled column against the rules evaluated one by one on each row's statistics."""
+    given = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
+    model = rule_ensemble.RuleModel(
+        ((rule_ensemble.Rule((("log_words", 2.0, True), ("distinct_rate", 0.9, False))), 1.5), (rule_ensemble.Rule((("word_length", 3.5, True),)), -0.75), (rule_ensemble.Rule((("repeat_rate", 0.0, True), ("log_words", 9.0, False))), 0.5)), -0.25
+    )
+    stats = {r["row"]["doc_id"]: r for r in rule_ensemble.with_statistics(given).collect()}
+    for r in rule_ensemble.scored(given, model).collect():
+        margin = model.intercept
+        for rule, weight in model.rules:
+            if all((stats[r["doc_id"]][f] > t) == above for f, t, above in rule.tests):
+                margin += weight
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-margin)))
+
+
 def test_quotation_counts_less():
     finder = toxicity.HitFinder(("stupid",))
     plain, quoted = finder.prepared(["you are stupid today", 'she said "they are stupid" and left'])
@@ -425,8 +559,26 @@ def test_quality_held_out(spark):
 def test_host_rules(docs, rows, empty):
     got = host_rules.host_rules(docs).collect()
     assert len(got) == len(rows)
-    by = {(r["doc_id"], r["n_words"]) for r in got}
-    assert {(r[0], len((r[1] or "").encode().split())) for r in rows} == by
+
+    def brute(t):
+        t = t or ""
+        w = t.encode().split()
+        windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        again = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if x.encode().split()]
+        return len(w), sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(again)
+
+    stats = [(r[0], r[2] or "", *brute(r[1])) for r in rows]
+    stats = [tuple(r[3] or "" if i == 1 else x for i, x in enumerate(s)) for s, r in zip(stats, rows, strict=True)]
+    failed = [s[2] < 50 or 2 * s[6] > s[2] for s in stats]
+    bad = [f or s[4] > s[2] or s[3] < 2 * s[2] or s[3] > 20 * s[2] for f, s in zip(failed, stats, strict=True)]
+    hosts = {h: (sum(s[1] == h for s in stats), sum(b for s, b in zip(stats, bad, strict=True) if s[1] == h)) for h in {s[1] for s in stats}}
+    n, mean = len(stats), sum(bad) / len(stats)
+    between = sum(k * k / m for m, k in hosts.values()) / n - mean * mean - mean * (1 - mean) * len(hosts) / n
+    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6) if between > 0 else 1e6
+    verdict = {h: (k + mean * strength) / (m + strength) <= 0.5 for h, (m, k) in hosts.items()}
+    want = [(s[0], *s[2:], f, not f and verdict[s[1]]) for s, f in zip(stats, failed, strict=True)]
+    assert sorted(((r["doc_id"], *(r[c] for c in host_rules.COUNTS), r["base_failed"], r["kept"]) for r in got), key=repr) == sorted(want, key=repr)
     assert host_rules.host_rules(empty).count() == 0
 
 
