@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import byte_bpe, minhash, mixing, rule_ensemble, toxicity
-from larkspur.llm.common import shared_dir, table
+from larkspur.llm.common import free_name, save, shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,13 +17,15 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is rejected go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, into="_toxic").filter(F.col("_toxic") < toxicity.REJECT).select(*docs.columns)
+    score = free_name(docs, "toxic")
+    return toxicity.scored(docs, model, into=score).filter(F.col(score) < toxicity.REJECT).select(*docs.columns)
 
 
 def quality_in(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality is accepted stay."""
     model = rule_ensemble.fit(rule_ensemble.training_rows(docs, table(spark, sf_dir, "labels")))
-    return rule_ensemble.scored(docs, model, into="_quality").filter(F.col("_quality") >= rule_ensemble.ACCEPT).select(*docs.columns)
+    score = free_name(docs, "quality")
+    return rule_ensemble.scored(docs, model, into=score).filter(F.col(score) >= rule_ensemble.ACCEPT).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the ids of each whole text."""
-    encoded = byte_bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang, source, n_tokens and the ids of each whole text, and the SHA-256 of the bytes that they decode to."""
+    path = public_tokenizers.path(RANKS)
+    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN).drop("text")
+    decoded = byte_bpe.decode(encoded.withColumn("again", F.col("ids")), path, "again")
+    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -54,10 +58,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir.
+
+    Null and empty texts, repeated rows and null keys are documents like any other; which of them a stage keeps is what its
+    operator's docstring says. An empty table goes through all stages. Columns beside those of documents come along up to
+    the last stage, whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        save(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
