@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.blocks import text_blocks, with_column
-from larkspur.llm.common import free_name, written
+from larkspur.llm.common import for_python, free_name, written
 from larkspur.llm.lookup import Lookup
 
 #: Units of at least this share of all units of the corpus are frequent: 1 / SHARE of them at most.
@@ -30,7 +30,7 @@ SHARE = 2e-6
 #: Bytes of the longest piece that is replayed together with others, and characters of the longest frequent unit.
 LONGEST = 64
 #: Characters of text, or of units of the corpus, that are encoded at once.
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 #: Bits of a token's id in a pair's key, and of a position.
 BITS, POSITION = 20, 24
 #: Pieces that are replayed at once, and ranks in one range of the index.
@@ -284,7 +284,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
             ids, ends = encoder.encode(texts)
             yield with_column(rows, into, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+    return for_python(kept).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -301,4 +301,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
             names = [n for n in batch.schema.names if n != ids]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=[*names, into])
 
-    return kept.mapInArrow(run, T.StructType([*rest, T.StructField(into, T.BinaryType())]))
+    return for_python(kept).mapInArrow(run, T.StructType([*rest, T.StructField(into, T.BinaryType())]))

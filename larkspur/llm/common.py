@@ -73,6 +73,16 @@ def range_of(key: str | Column, bounds: list) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < key)))
 
 
+#: Bytes of rows that go to Python at once. Rows that hold texts are large: Spark's own bound lets a task hold several times more.
+BATCH_BYTES = 8 << 20
+
+
+def for_python(df: DataFrame) -> DataFrame:
+    """The same rows, in a session that hands rows to Python in batches of at most BATCH_BYTES."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

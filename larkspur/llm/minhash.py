@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import byte_blocks
-from larkspur.llm.common import split_lower, written
+from larkspur.llm.common import for_python, split_lower, written
 from larkspur.llm.components import components
 
 #: Cells of the universe, and coordinates of a signature.
@@ -144,7 +144,7 @@ def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             )
 
     plain = docs.select(F.col(key).cast("long").alias("key"), mark_of(F.col(text)).alias("mark"), F.col(text).alias("text"))
-    return plain.mapInArrow(run, "key long, mark string, n_shingles long, digest binary, buckets array<long>")
+    return for_python(plain).mapInArrow(run, "key long, mark string, n_shingles long, digest binary, buckets array<long>")
 
 
 def mark_of(text: Column) -> Column:
@@ -165,7 +165,7 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int, nodes: DataFrame)
             sets = [shingler.shingles(x) for x in texts]
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(map(_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "digest", "shingles"])
 
-    found = rows.mapInArrow(run, "key long, digest binary, shingles array<long>")
+    found = for_python(rows).mapInArrow(run, "key long, digest binary, shingles array<long>")
     # a key may stand for several texts: the digest tells which is the class's own
     own = (found["digest"] == nodes["digest"]) & found["key"].eqNullSafe(nodes["first_key"])
     return found.join(nodes, own).select("cid", "shingles").dropDuplicates(["cid"])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.blocks import text_blocks
-from larkspur.llm.common import fold
+from larkspur.llm.common import fold, for_python
 
 #: Labelled rows to learn from, at most: those first by a hash of their key.
 MAX_TRAIN = 20_000
@@ -40,7 +40,8 @@ QUOTED, ADDRESSED = 0.25, 1.5
 FOLDS, HELD = 4, 2
 #: A document is rejected from this score on.
 REJECT = 0.3
-MEMORY = 400_000
+#: Words that a task remembers, states that an automaton does, and characters of text that are taken apart at once.
+MEMORY, STATES, BLOCK = 200_000, 30_000, 2_000_000
 
 #: Words that report speech, and words that address someone, in the languages of the corpus.
 REPORTS = frozenset("said says say wrote writes called calls quoted quote quotes quoting claimed reported according term word slur dit disait écrit selon mot cité sagte sagt schrieb nannte laut wort zitat dijo dice escribió llamó según palabra cita".split())
@@ -77,6 +78,10 @@ class LexiconAutomaton:
                 self.most[node] = max(self.most[node], edits)
             had, was = self.ends[node]
             self.ends[node] = (max(had, edits), was or open_ended)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the steps taken so far; they are found again as words ask for them."""
         self.states: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
@@ -164,6 +169,8 @@ class HitFinder:
         if len(self.known) > MEMORY:
             self.known.clear()
             self.hits.clear()
+        if len(self.automaton.sets) > STATES:
+            self.automaton.forget()
         known, edits = self.known, self.automaton.edits
         for w in fresh:
             if w not in known:
@@ -210,13 +217,13 @@ def with_hits(docs: DataFrame, terms: tuple[str, ...], text: str = "text") -> Da
         import math
 
         finder = HitFinder(shared.value)
-        for rows, texts in text_blocks(batches, text):
+        for rows, texts in text_blocks(batches, text, BLOCK):
             found = [(*finder.masses(words), len(words)) for words in finder.prepared(texts)]
             columns = [[math.log1p(p) for p, _, _ in found], [math.log1p(q) for _, q, _ in found], [math.log1p(100 * (p + q) / max(n, 20)) for p, q, n in found]]
             yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c, pa.float64()) for c in columns)], names=[*rows.schema.names, *FEATURES])
 
     kept = docs.drop(*FEATURES)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)]))
+    return for_python(kept).mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)]))
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_TRAIN) -> DataFrame:
@@ -237,7 +244,7 @@ def candidates(train: DataFrame) -> DataFrame:
     """term, n_toxic, n_other: in how many texts of each kind a word or a word beginning (OPEN at its end) stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_blocks(batches, "text"):
+        for rows, texts in text_blocks(batches, "text", BLOCK):
             counts: dict[str, list[int]] = {}
             for x, y in zip(texts, rows.column("y").to_pylist(), strict=True):
                 words = {core_of(w) for w in x.lower().split()}
@@ -248,7 +255,7 @@ def candidates(train: DataFrame) -> DataFrame:
                     counts.setdefault(t, [0, 0])[0 if y else 1] += 1
             yield pa.RecordBatch.from_pydict({"term": list(counts), "t": [c[0] for c in counts.values()], "o": [c[1] for c in counts.values()]}, schema=pa.schema([("term", pa.string()), ("t", pa.int64()), ("o", pa.int64())]))
 
-    return train.mapInArrow(run, "term string, t long, o long").groupBy("term").agg(F.sum("t").alias("n_toxic"), F.sum("o").alias("n_other"))
+    return for_python(train).mapInArrow(run, "term string, t long, o long").groupBy("term").agg(F.sum("t").alias("n_toxic"), F.sum("o").alias("n_other"))
 
 
 def lexicon(train: DataFrame) -> tuple[str, ...]:
