@@ -30,11 +30,11 @@ SHARE = 2e-6
 #: Bytes of the longest piece that is replayed together with others, and characters of the longest frequent unit.
 LONGEST = 64
 #: Characters of text, or of units of the corpus, that are encoded at once.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 #: Bits of a token's id in a pair's key, and of a position.
 BITS, POSITION = 20, 24
 #: Pieces that are replayed at once, and ranks in one range of the index.
-AT_ONCE, RANGE = 100_000, 1_024
+AT_ONCE, RANGE = 40_000, 1_024
 #: A blank between two other characters always starts a piece, whatever surrounds the two.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Blanks for which that doesn't hold.
@@ -53,10 +53,12 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        pairs = [(ranks[t[:i]] << BITS | ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        keys, values = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
         #: From a pair of tokens, as left << BITS | right, to the rank of their union.
-        self.pairs = {ranks[t[:i]] << BITS | ranks[t[i:]]: rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.lookup, self.values = Lookup(keys), values.astype(np.int32)
         self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int32)
-        self.lookup, self.values = Lookup(np.array(list(self.pairs), dtype=np.int64)), np.array(list(self.pairs.values()), dtype=np.int32)
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks of pairs, -1 for those that don't merge."""
@@ -93,7 +95,7 @@ class MergeReplay:
         piece, n = np.repeat(np.arange(len(pieces)), sizes), len(text)
         # for each position: its token (-1 where it has gone into its left neighbour), the live neighbours (-1 at a piece's
         # ends), and the rank of the pair that starts here
-        ids, after, before, ranks = self.byte_ids[text], np.arange(1, n + 1), np.arange(-1, n - 1), np.full(n, -1, dtype=np.int32)
+        ids, after, before, ranks = self.byte_ids[text], np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32), np.full(n, -1, dtype=np.int32)
         after[ends - 1] = before[ends - sizes] = -1
         ranks[:-1] = self.byte_pairs[text[:-1], text[1:]]
         ranks[ends - 1] = -1
@@ -146,9 +148,9 @@ class MergeReplay:
     def replayed_alone(self, piece: bytes) -> bytes:
         """The same over one long piece, position by position, in time in proportion to its length (and a logarithm)."""
         ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)].tolist()
-        n, get = len(ids), self.pairs.get
+        n, tokens, get = len(ids), self.tokens, self.ranks.get
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        ranks = [get(a << BITS | b, -1) for a, b in zip(ids, ids[1:], strict=False)] + [-1]
+        ranks = [get(tokens[a] + tokens[b], -1) for a, b in zip(ids, ids[1:], strict=False)] + [-1]
         heap = [(r, at) for at, r in enumerate(ranks) if r >= 0]
         heapq.heapify(heap)
         while heap:
@@ -160,11 +162,11 @@ class MergeReplay:
             ids[at], ids[then], ranks[then], ranks[at], after[at] = rank, -1, -1, -1, beyond
             if beyond >= 0:
                 before[beyond] = at
-                ranks[at] = get(rank << BITS | ids[beyond], -1)
+                ranks[at] = get(tokens[rank] + tokens[ids[beyond]], -1)
                 if ranks[at] >= 0:
                     heapq.heappush(heap, (ranks[at], at))
             if back >= 0:
-                ranks[back] = get(ids[back] << BITS | rank, -1)
+                ranks[back] = get(tokens[ids[back]] + tokens[rank], -1)
                 if ranks[back] >= 0:
                     heapq.heappush(heap, (ranks[back], back))
         return np.array([x for x in ids if x >= 0], dtype=np.int32).tobytes()
