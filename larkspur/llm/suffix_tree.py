@@ -17,10 +17,9 @@ out of the shuffles; where it fills up, only time is lost.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import byte_blocks
-from larkspur.llm.common import discarded, fold, split_lower, written
+from larkspur.llm.common import LOWER_BYTES, discarded, fold, written
 from larkspur.llm.lookup import Lookup
 
 DEPTH = 3
@@ -43,25 +42,25 @@ ADD = 0.1
 FOLDS, HELD = 10, 0
 #: Bits of a bitmap, and of the pieces it is put together from.
 BITMAP, PIECE = 1 << 27, 1 << 15
-#: Distinct words that a task counts before it hands them on, and whose hashes it remembers.
-HELD_COUNTS = 500_000
 #: Bytes of text that are coded at once: a token takes about a hundred bytes meanwhile.
 BLOCK = 4_000_000
+#: Words that are hashed at once.
+WORDS = 1 << 14
 #: Weights of the last word of a gram, of the one before it, and so on; what is added for a gram's length.
 WEIGHTS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 LENGTHS = np.array([0, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 
 
-class Hashes(dict):
-    """64-bit hash of each word, remembered; no word is empty, so b"" stands for the end of a text."""
+def stirred(x: np.ndarray) -> np.ndarray:
+    """64-bit integers (unsigned) with their bits spread: a bijection."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
 
-        if len(self) > HELD_COUNTS:
-            self.clear()
-        found = self[word] = xxh3_64_intdigest(word)
-        return found
+#: What stands for the end of a text, a number for each byte, and where the numbers of the bytes' places begin.
+END, BYTES, PLACES = np.uint64(0x2545F4914F6CDD1D), stirred(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0xD1B54A32D192ED03)
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 @dataclass
@@ -80,42 +79,69 @@ def training(docs: DataFrame, key: str) -> DataFrame:
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word (binary), n over all rows, and the end of text as a null word. A task hands on what it has counted."""
+    """word (binary), n over all rows, and the end of text as a null word. Each block is counted by itself first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def handed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
-
         for _, texts in byte_blocks(batches, "text", BLOCK):
-            for x in texts:
-                counts.update(split_lower(x))
-            counts[None] += len(texts)
-            if len(counts) > HELD_COUNTS:
-                yield handed()
-        yield handed()
+            found = Coded(texts).all_words().value_counts()
+            words, n = found.field("values"), found.field("counts")
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.nulls(1, pa.binary())]), pa.concat_arrays([n, pa.array([len(texts)], pa.int64())])], names=["word", "n"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Coded:
-    """Tokens of several texts, ends included, and the codes of the grams that end at each."""
-
-    def __init__(self, texts: list[bytes], memory: Hashes):
-        self.words = [split_lower(x) for x in texts]
-        flat: list[int] = []
-        for w in self.words:
-            flat.extend(map(memory.__getitem__, w))
-            flat.append(memory[b""])
-        self.hashes = np.array(flat, dtype=np.uint64)
-        self.sizes = np.array([len(w) + 1 for w in self.words])
+    """Tokens of several texts, ends included, and the codes of the grams that end at each.
+
+    A word's hash is the sum over its bytes of the byte's number times the place's, stirred.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.bytes = b" ".join(texts).translate(LOWER_BYTES)
+        self.raw = np.frombuffer(self.bytes, dtype=np.uint8)
+        edges = np.flatnonzero(np.diff(~BLANK[self.raw], prepend=False, append=False))
+        #: Where each word begins and ends.
+        self.begin, self.end = edges[::2], edges[1::2]
+        cut = np.searchsorted(self.begin, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+        self.sizes = np.diff(cut) + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.text = np.repeat(np.arange(len(texts)), self.sizes)
+        self.is_end = np.zeros(len(self.text), dtype=bool)
+        self.is_end[self.starts + self.sizes - 1] = True
         #: How many tokens of its text stand before each token.
-        self.place = np.arange(len(flat)) - np.repeat(self.starts, self.sizes)
-        self.sums = [self.hashes]
+        self.place = np.arange(len(self.text)) - np.repeat(self.starts, self.sizes)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        found = np.full(len(self.text), END)
+        found[~self.is_end] = self._hashed()
+        return found
+
+    @cached_property
+    def sums(self) -> list[np.ndarray]:
+        return [self.hashes]
+
+    def _hashed(self) -> np.ndarray:
+        sizes, found = self.end - self.begin, np.zeros(len(self.begin), dtype=np.uint64)
+        places = stirred(np.arange(sizes.max(initial=0), dtype=np.uint64) + PLACES)
+        for i in range(0, len(sizes), WORDS):
+            size = sizes[i : i + WORDS]
+            part = self.raw[self.begin[i] : self.end[i : i + WORDS][-1]]
+            part, first = part[~BLANK[part]], np.cumsum(size) - size
+            found[i : i + WORDS] = np.add.reduceat(BYTES[part] * places[np.arange(len(part)) - np.repeat(first, size)], first)
+        return stirred(found + sizes.astype(np.uint64))
+
+    def all_words(self) -> pa.Array:
+        """All words in order, without the ends."""
+        offsets = np.cumsum([0, *(self.end - self.begin)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self.begin), [None, pa.py_buffer(offsets), pa.py_buffer(self.raw[~BLANK[self.raw]])])
+
+    def words(self, at: np.ndarray) -> list[bytes | None]:
+        """The words of some tokens, an end as None."""
+        ends = self.is_end[at]
+        # before a token stand as many ends as texts
+        word = np.where(ends, 0, at - self.text[at])
+        return [None if e else self.bytes[i:j] for e, i, j in zip(ends.tolist(), self.begin[word].tolist(), self.end[word].tolist())] if len(self.begin) else [None] * len(at)
 
     def codes(self, n: int) -> np.ndarray:
         """The code of the n words that end at each token; without meaning where its text has fewer."""
@@ -161,15 +187,16 @@ def gram_counts(docs: DataFrame, depth: int, wanted: np.ndarray, text: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, memory = shared.value, Hashes()
+        bits = shared.value
         for _, texts in byte_blocks(batches, "text", BLOCK):
-            coded = Coded(texts, memory)
+            coded = Coded(texts)
             shorter = coded.codes(depth)
             use = np.flatnonzero(coded.place >= depth)
             use = use[has_bit(bits, shorter[use - 1])]
-            g, first, n = np.unique(coded.codes(depth + 1)[use], return_index=True, return_counts=True)
+            codes = coded.codes(depth + 1)[use]
+            first, n = distinct(codes)
             at = use[first]
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n), pa.array(shorter[at - 1]), pa.array(shorter[at])], names=["g", "n", "ctx", "suf"])
+            yield pa.RecordBatch.from_arrays([pa.array(codes[first]), pa.array(n), pa.array(shorter[at - 1]), pa.array(shorter[at])], names=["g", "n", "ctx", "suf"])
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(run, "g long, n long, ctx long, suf long")
     return found.groupBy("g").agg(F.sum("n").alias("n"), F.min("ctx").alias("ctx"), F.min("suf").alias("suf"))
@@ -179,9 +206,12 @@ def words_coded(counts: DataFrame) -> DataFrame:
     """g, n of the words of a table of word counts."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Hashes()
         for batch in batches:
-            codes = np.array([memory[w or b""] for w in batch.column("word").to_pylist()], dtype=np.uint64) + LENGTHS[1]
+            words = batch.column("word")
+            hashes = Coded([b" ".join(words.drop_null().to_pylist())]).hashes
+            codes = np.full(len(words), END)
+            codes[words.is_valid().to_numpy(zero_copy_only=False)] = hashes[:-1]
+            codes += LENGTHS[1]
             yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), batch.column("n")], names=["g", "n"])
 
     return counts.select("word", "n").mapInArrow(hashed, "g long, n long")
@@ -224,13 +254,22 @@ def fit(docs: DataFrame, counts: DataFrame, text: str = "text") -> Tree:
     return Tree(Lookup(head["g"].to_numpy()), head["s"].to_numpy(dtype=float), n, distinct, Lookup(frequent["g"].to_numpy()), frequent["shift"].to_numpy(dtype=float), table)
 
 
-def counted(text: np.ndarray, codes: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray]:
-    """The distinct codes of each text as structs of g and k, and where each of the n texts' begin and the last one's end."""
-    order = np.lexsort((codes, text))
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the distinct codes: where one stands, and how often."""
+    order = codes.argsort()
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)])
+    return order[first], np.diff(np.append(first, len(codes)))
+
+
+def counted(text: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For the distinct codes of each text: where one stands and how often, and where each of the n texts' begin and the last one's end."""
+    order = codes.argsort()
+    # numbers of 16 bits are sorted by their digits
+    order = order[text[order].astype(np.uint16 if n <= 1 << 16 else np.int64).argsort(kind="stable")]
     text, codes = text[order], codes[order]
     first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (codes[1:] != codes[:-1])])[: len(text)])
-    times = np.diff(np.append(first, len(text))).astype(np.int32)
-    return pa.StructArray.from_arrays([pa.array(codes[first]), pa.array(times)], names=["g", "k"]), np.searchsorted(text[first], np.arange(n + 1)).astype(np.int32)
+    return order[first], np.diff(np.append(first, len(text))), pa.array(np.searchsorted(text[first], np.arange(n + 1)).astype(np.int32))
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,10 +278,9 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", t
     shared, bits_ = context.broadcast((tree.words, tree.logs, tree.grams, tree.shifts)), context.broadcast(bitmap(tree.table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (words, logs, grams, shifts), bits, memory = shared.value, bits_.value, Hashes()
+        (words, logs, grams, shifts), bits = shared.value, bits_.value
         for rows, texts in byte_blocks(batches, "text", BLOCK):
-            coded = Coded(texts, memory)
-            text_ = np.repeat(np.arange(len(texts)), coded.sizes)
+            coded = Coded(texts)
             at = words(coded.codes(1))
             base = np.where(at >= 0, logs[at], 0.0) if len(logs) else np.zeros(len(at))
             shifted = np.zeros(len(at))
@@ -254,18 +292,17 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", t
                 use, codes = use[some], codes[some]
                 found = grams(codes)
                 shifted[use[found >= 0]] += shifts[found[found >= 0]]
-                open_text.append(text_[use[found < 0]])
+                open_text.append(coded.text[use[found < 0]])
                 open_codes.append(codes[found < 0])
-            structs, ends = counted(np.concatenate(open_text), np.concatenate(open_codes), len(texts))
-            flat = [w for own in coded.words for w in (*own, b"")]
-            rare: list[Counter] = [Counter() for _ in texts]
-            for i in np.flatnonzero(at < 0).tolist():
-                rare[text_[i]][flat[i] or None] += 1
-            rare_ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-            items = pa.StructArray.from_arrays([pa.array([w for x in rare for w in x], pa.binary()), pa.array([k for x in rare for k in x.values()], pa.int64())], names=["word", "k"])
+            codes = np.concatenate(open_codes)
+            one, times, ends = counted(np.concatenate(open_text), codes, len(texts))
+            structs = pa.StructArray.from_arrays([pa.array(codes[one]), pa.array(times.astype(np.int32))], names=["g", "k"])
+            rare = np.flatnonzero(at < 0)
+            one, times, rare_ends = counted(coded.text[rare], coded.hashes[rare], len(texts))
+            items = pa.StructArray.from_arrays([pa.array(coded.words(rare[one]), pa.binary()), pa.array(times, pa.int64())], names=["word", "k"])
             sums = lambda x: pa.array(np.add.reduceat(x, coded.starts))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("key"), pa.array(coded.sizes), sums((at >= 0).astype(np.int64)), sums(base), sums(shifted), pa.ListArray.from_arrays(pa.array(rare_ends), items), pa.ListArray.from_arrays(pa.array(ends), structs)],
+                [rows.column("key"), pa.array(coded.sizes), sums((at >= 0).astype(np.int64)), sums(base), sums(shifted), pa.ListArray.from_arrays(rare_ends, items), pa.ListArray.from_arrays(ends, structs)],
                 names=["key", "n_tokens", "n_known", "base", "shifted", "rare", "grams"],
             )
 
