@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -174,6 +175,19 @@ def test_clashing_names(spark):
         assert {"doc_id", "_mix_cdf", "row", "key"} <= set(made.columns)
 
 
+def test_suffix_tree_words():
+    texts = [b"", b" \n A b  C", b"x", b"", "\u00e9 \u00dcn\u00ef a\u0085b \x0bq".encode(), b"   ", b"y" * 40000, b"A b ab ba aab aba baa", b"1 " * 20000]
+    coded = suffix_tree.Coded(texts)
+    plain = [w for x in texts for w in (*x.translate(suffix_tree.LOWER_BYTES).split(), None)]
+    assert coded.words(np.arange(len(coded.text))) == plain
+    assert coded.all_words().to_pylist() == [w for w in plain if w is not None]
+    hashes = dict(zip(plain, coded.hashes.tolist(), strict=True))
+    assert coded.hashes.tolist() == [hashes[w] for w in plain] and len(set(hashes.values())) == len(hashes)
+    for blank in ([], [b""], [b"", b" "]):
+        coded = suffix_tree.Coded(blank)
+        assert coded.sizes.tolist() == [1] * len(blank) and coded.all_words().to_pylist() == []
+
+
 def test_suffix_tree(docs, rows, empty):
     got = sorted((tuple(r) for r in suffix_tree.fit_and_score(docs).collect()), key=repr)
     held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 10 == 0
@@ -371,7 +385,6 @@ def test_minhash_group_around_the_threshold(spark, monkeypatch, edits):
 
 def test_minhash_recall_at_the_threshold():
     """Pairs of similarity 0.8 exactly: about 1 in 10,000 misses all bands."""
-    import numpy as np
 
     circulant, r, missed = minhash.Circulant(), np.random.Generator(np.random.PCG64(3)), 0
     for size in (10, 50, 200):
