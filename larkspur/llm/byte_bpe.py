@@ -30,7 +30,7 @@ SHARE = 2e-6
 #: Bytes of the longest piece that is replayed together with others, and characters of the longest frequent unit.
 LONGEST = 64
 #: Characters of text, or of units of the corpus, that are encoded at once.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Bits of a token's id in a pair's key, and of a position.
 BITS, POSITION = 20, 24
 #: Pieces that are replayed at once, and ranks in one range of the index.
