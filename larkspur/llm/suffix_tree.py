@@ -315,12 +315,13 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", t
     share = F.log10((F.coalesce("n", F.lit(0)) + F.lit(ADD)) / F.lit(whole_mass))
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
     seen = rare.join(counts, rare["word"].eqNullSafe(counts["word"]), "left")
-    words = seen.select("row", (F.col("k") * share).alias("more"), F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("found"), F.lit(0.0).alias("open"))
+    found = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)
+    # each sum is written before the next begins, so that the shuffle files of one are gone by then
+    words = written(seen.groupBy("row").agg(F.sum(F.col("k") * share).alias("more"), F.sum(found).alias("found")), "word-sums")
     open_ = rows.select("row", F.explode("grams").alias("r")).select("row", "r.g", "r.k").join(tree.table.select("g", "shift"), "g")
-    grams = open_.select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("found"), (F.col("k") * F.col("shift")).alias("open"))
-    sums = words.unionAll(grams).groupBy("row").agg(F.sum("more").alias("more"), F.sum("found").alias("found"), F.sum("open").alias("open"))
+    grams = written(open_.groupBy("row").agg(F.sum(F.col("k") * F.col("shift")).alias("open")), "gram-sums")
     base = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return rows.drop("rare", "grams").join(sums, "row", "left").select(
+    return rows.drop("rare", "grams").join(words, "row", "left").join(grams, "row", "left").select(
         F.col("key").cast(kind).alias(key),
         (fold("key", FOLDS) == HELD).alias("held_out"),
         "n_tokens",
