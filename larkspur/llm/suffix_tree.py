@@ -7,12 +7,14 @@ down to the smoothed counts of single words. A token is scored by the longest su
 
 These are counts, not shares: the tree grows with the corpus. It is built by joins and kept in tables. A token's log10 share is a
 sum over the grams (runs of words) around it: a gram adds what it changes as an entry of its context and, where it is a state,
-what it leaves to its suffix for the token after it. So a document's score is a sum over its grams, joined with one table.
-The most frequent grams (1/MIN_ENTRY a length at most) and words (1/MIN_WORD) are also broadcast as the head, and don't take
-part in that join: it has no hot keys.
+what it leaves to its suffix for the token after it. So a document's score is a sum over its grams, looked up in one table.
+The most frequent grams (1/MIN_ENTRY a length at most) and words (1/MIN_WORD) are also broadcast as the head, and aren't looked
+up there: that table has no hot keys.
 
 In tables a gram is a 64-bit code of the hashes of its words. A bitmap of BITMAP bits keeps most grams that cannot matter
-out of the shuffles; where it fills up, only time is lost.
+out of the shuffles; where it fills up, only time is lost. Codes are dealt out by their first bits, and those of many texts move
+in one row: sorted, as differences. Of a gram's context a tag of 32 bits moves along. Codes are made so that a gram's code and
+its context's give its suffix's, and a suffix that is in the tree shows that a context of that tag is the gram's own.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import byte_blocks
-from larkspur.llm.common import LOWER_BYTES, discarded, fold, written
+from larkspur.llm.common import LOWER_BYTES, discarded, fold, shuffle_partitions, written
 from larkspur.llm.lookup import Lookup
 
 DEPTH = 3
@@ -46,8 +50,10 @@ BITMAP, PIECE = 1 << 27, 1 << 15
 BLOCK = 4_000_000
 #: Words that are hashed at once.
 WORDS = 1 << 14
-#: Weights of the last word of a gram, of the one before it, and so on; what is added for a gram's length.
-WEIGHTS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+#: Grams and documents whose codes move together, and tokens of the corpus for each part that codes are dealt to.
+ENTRIES, UNIT_DOCS, PART_TOKENS = 2_000_000, 50_000, 4_000_000
+#: Bits by which a word's hash is turned for each word after it in a gram; what is added for a gram's length.
+TURN = 17
 LENGTHS = np.array([0, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 
 
@@ -67,10 +73,12 @@ BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 class Tree:
     words: Lookup  # hashes of the head's words and of the end
     logs: np.ndarray  # log10 of their smoothed shares
+    least_word: float  # occurrences from which a word is in the head
     train_tokens: int
     distinct: int
     grams: Lookup  # codes of the head's grams
     shifts: np.ndarray  # what they add to the log10 share
+    least_gram: float
     table: DataFrame  # g, shift, n: the whole tree
 
 
@@ -149,8 +157,46 @@ class Coded:
             k = len(self.sums)
             before = np.zeros_like(self.hashes)
             before[k:] = self.hashes[:-k] if k < len(before) else 0
-            self.sums.append(self.sums[-1] + before * WEIGHTS[k])
-        return (self.sums[n - 1] + LENGTHS[n]).view(np.int64)
+            self.sums.append(self.sums[-1] ^ turned(before, TURN * k % 64))
+        return (self.sums[n - 1] ^ LENGTHS[n]).view(np.int64)
+
+
+def turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def turned_column(x: Column) -> Column:
+    """The same by TURN; shifts never overflow."""
+    return F.shiftleft(x, TURN).bitwiseOR(F.shiftrightunsigned(x, 64 - TURN))
+
+
+def of_length(n: int) -> Column:
+    return F.lit(int(LENGTHS[n].view(np.int64)))
+
+
+def parts_bits(docs: DataFrame, tokens: int) -> int:
+    """First bits of a code by which codes are dealt out, so that a part has about PART_TOKENS of the corpus."""
+    return max(1, (max(shuffle_partitions(docs.sparkSession), tokens // PART_TOKENS) - 1).bit_length())
+
+
+def dealt(codes: np.ndarray, bits: int, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(part, number of codes, these packed) for sorted unsigned codes and what belongs to them."""
+    parts = (codes >> np.uint64(64 - bits)).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(codes)] if len(codes) else [0]
+    for a, b in zip(edges, edges[1:]):
+        yield int(parts[a]), b - a, packed(np.diff(codes[a:b], prepend=np.uint64(0)), *(x[a:b] for x in values))
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of the same length, first bytes of all numbers first, compressed."""
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
+    return pa.Codec("zstd", compression_level=1).compress(b"".join(planes), asbytes=True)
+
+
+def unpacked(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    sizes = [n * np.dtype(x).itemsize for x in kinds]
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=sum(sizes)), dtype=np.uint8)
+    return [np.ascontiguousarray(x.reshape(-1, n).T).view(kind).reshape(-1) for x, kind in zip(np.split(raw, np.cumsum(sizes)[:-1]), kinds, strict=True)]
 
 
 def at_bit(codes: np.ndarray) -> np.ndarray:
@@ -182,24 +228,51 @@ def bitmap(codes: DataFrame) -> np.ndarray:
     return bits.reshape(-1)
 
 
-def gram_counts(docs: DataFrame, depth: int, wanted: np.ndarray, text: str = "text") -> DataFrame:
-    """g, n over all rows, ctx and suf (g without its last and its first word) of the grams whose context has `depth` words and a bit."""
+def gram_counts(docs: DataFrame, depth: int, wanted: np.ndarray, bits: int, text: str = "text") -> DataFrame:
+    """g, n over all rows, and the context's tag of the grams listed whose context has `depth` words and a bit. bits: parts_bits."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
         for _, texts in byte_blocks(batches, "text", BLOCK):
             coded = Coded(texts)
             shorter = coded.codes(depth)
             use = np.flatnonzero(coded.place >= depth)
-            use = use[has_bit(bits, shorter[use - 1])]
-            codes = coded.codes(depth + 1)[use]
+            use = use[has_bit(shared.value, shorter[use - 1])]
+            codes = coded.codes(depth + 1)[use].view(np.uint64)
             first, n = distinct(codes)
-            at = use[first]
-            yield pa.RecordBatch.from_arrays([pa.array(codes[first]), pa.array(n), pa.array(shorter[at - 1]), pa.array(shorter[at])], names=["g", "n", "ctx", "suf"])
+            held.append((codes[first], n.astype(np.uint32), tags(shorter[use[first] - 1])))
+            if sum(len(x[0]) for x in held) >= ENTRIES:
+                yield moved(held)
+                held = []
+        if held:
+            yield moved(held)
+
+    def moved(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        codes, n, of = summed(*(np.concatenate(x) for x in zip(*held))) if len(held) > 1 else held[0]
+        rows = list(dealt(codes, bits, n.astype(np.uint32), of))
+        return pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("part", pa.int32()), ("size", pa.int32()), ("data", pa.binary())))})
+
+    def listed(group: pa.Table) -> pa.Table:
+        found = [unpacked(x, n, np.uint64, np.uint32, np.uint32) for x, n in zip(group["data"].to_pylist(), group["size"].to_pylist(), strict=True)]
+        codes, n, of = summed(np.concatenate([x[0].cumsum() for x in found]), *(np.concatenate([x[i] for x in found]) for i in (1, 2)))
+        some = n >= MIN_COUNT
+        return pa.table({"g": codes[some].view(np.int64), "n": n[some], "tag": of[some].astype(np.int64)})
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "part int, size int, data binary")
+    return found.groupBy("part").applyInArrow(listed, "g long, n long, tag long")
+
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "g long, n long, ctx long, suf long")
-    return found.groupBy("g").agg(F.sum("n").alias("n"), F.min("ctx").alias("ctx"), F.min("suf").alias("suf"))
+def tags(codes: np.ndarray) -> np.ndarray:
+    return codes.view(np.uint64).astype(np.uint32)
+
+
+def summed(codes: np.ndarray, n: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes in order, the sum of their n, and what one of each is of."""
+    order = codes.argsort()
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)])
+    return codes[first], np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64), of[order[first]]
 
 
 def words_coded(counts: DataFrame) -> DataFrame:
@@ -211,7 +284,7 @@ def words_coded(counts: DataFrame) -> DataFrame:
             hashes = Coded([b" ".join(words.drop_null().to_pylist())]).hashes
             codes = np.full(len(words), END)
             codes[words.is_valid().to_numpy(zero_copy_only=False)] = hashes[:-1]
-            codes += LENGTHS[1]
+            codes ^= LENGTHS[1]
             yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), batch.column("n")], names=["g", "n"])
 
     return counts.select("word", "n").mapInArrow(hashed, "g long, n long")
@@ -224,34 +297,46 @@ def fit(docs: DataFrame, counts: DataFrame, text: str = "text") -> Tree:
     distinct = sums["v"] if sums["ends"] else 0
     whole_mass = n + ADD * (distinct + 1)
     share = F.log10((F.col("n") + F.lit(ADD)) / F.lit(whole_mass))
-    lower = written(words_coded(counts.filter((F.col("n") >= MIN_COUNT) | F.col("word").isNull())).select("g", "n", share.alias("s")), "grams-1")
+    words = words_coded(counts.filter((F.col("n") >= MIN_COUNT) | F.col("word").isNull()))
+    # rest: the code of what follows the first word, without its length
+    lower = written(words.select("g", "n", share.alias("s"), F.lit(0).cast("long").alias("rest")), "grams-1")
     # thresholds bound what comes to the driver
-    head = lower.filter(F.col("n") >= max(MIN_COUNT, MIN_WORD * n)).select("g", "s").toPandas()
-    shifts, used = [], []
+    least_word, least_gram = max(MIN_COUNT, MIN_WORD * n), max(MIN_COUNT, MIN_ENTRY * n)
+    head = lower.filter(F.col("n") >= least_word).select("g", "s").toPandas()
+    bits, shifts, used = parts_bits(docs, n), [], []
+    of_context = Window.partitionBy("ctx")
     for depth in range(1, DEPTH + 1):
         own = lower.filter(F.col("n") >= MIN_STATE)
-        listed = written(gram_counts(docs, depth, bitmap(own), text).filter(F.col("n") >= MIN_COUNT), f"listed-{depth + 1}")
-        totals = listed.groupBy("ctx").agg(F.sum(F.col("n") - DISCOUNT).alias("taken"), F.sum("n").alias("listed"))
-        totals = totals.join(own.select(F.col("g").alias("ctx"), F.col("n").alias("whole")), "ctx")
-        totals = totals.select("ctx", "listed", "whole", F.least(F.lit(1.0), F.greatest(F.lit(1e-9), 1 - F.col("taken") / F.col("whole"))).alias("mass"))
-        seen = listed.join(lower.select(F.col("g").alias("suf"), F.col("s").alias("lower")), "suf").drop("suf").join(totals, "ctx")
-        seen = written(seen.withColumn("share", F.log10((F.col("n") - DISCOUNT) / F.col("whole") + F.col("mass") * F.pow(F.lit(10.0), F.col("lower")))), f"seen-{depth + 1}")
-        discarded(listed)
-        gains = seen.groupBy("ctx", "mass", "whole", "listed").agg(F.sum(F.col("n") * (F.col("share") - F.col("lower"))).alias("gain"))
-        gain = F.col("gain") * float(np.log(10)) + (F.col("whole") - F.col("listed")) * F.log("mass")
-        states = written(gains.filter(gain >= MIN_GAIN).select("ctx", "whole", F.log10("mass").alias("left")), f"states-{depth}")
+        listed = written(gram_counts(docs, depth, bitmap(own), bits, text), f"listed-{depth + 1}")
+        contexts = own.select(F.col("g").alias("ctx"), F.col("n").alias("whole"), F.col("rest").alias("ctx_rest"), F.col("g").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"))
+        last = F.col("g").bitwiseXOR(of_length(depth + 1)).bitwiseXOR(turned_column(F.col("ctx").bitwiseXOR(of_length(depth))))
+        seen = listed.join(contexts, "tag").select("ctx", "whole", "g", "n", turned_column(F.col("ctx_rest")).bitwiseXOR(last).alias("rest"))
+        suffixes = lower.select(F.col("g").bitwiseXOR(of_length(depth)).alias("rest"), F.col("s").alias("lower"))
+        seen = seen.join(suffixes, "rest")
+        taken = F.sum(F.col("n") - DISCOUNT).over(of_context)
+        seen = seen.withColumns({"mass": F.least(F.lit(1.0), F.greatest(F.lit(1e-9), 1 - taken / F.col("whole"))), "listed": F.sum("n").over(of_context), "one": F.min("g").over(of_context)})
+        seen = seen.withColumn("share", F.log10((F.col("n") - DISCOUNT) / F.col("whole") + F.col("mass") * F.pow(F.lit(10.0), F.col("lower"))))
+        gain = F.sum(F.col("n") * (F.col("share") - F.col("lower"))).over(of_context) * float(np.log(10)) + (F.col("whole") - F.col("listed")) * F.log("mass")
+        seen = seen.withColumn("left", F.when(gain >= MIN_GAIN, F.log10("mass")))
         inside = F.col("left").isNotNull()
-        now = seen.select("ctx", "g", "n", "share", "lower").join(states.select("ctx", "left"), "ctx", "left")
-        now = now.select("g", "n", F.when(inside, F.col("share")).otherwise(F.col("lower")).alias("s"), F.when(inside, F.col("share") - F.col("left") - F.col("lower")).otherwise(0.0).alias("shift"))
+        now = seen.select(
+            "g",
+            "n",
+            "rest",
+            F.when(inside, F.col("share")).otherwise(F.col("lower")).alias("s"),
+            F.when(inside, F.col("share") - F.col("left") - F.col("lower")).otherwise(0.0).alias("shift"),
+            # a state once, beside one of its grams
+            F.when(inside & (F.col("g") == F.col("one")), F.struct(F.col("ctx").alias("g"), F.col("left").alias("shift"), F.col("whole").alias("n"))).alias("state"),
+        )
         now = written(now, f"grams-{depth + 1}")
-        discarded(seen)
-        used += [lower, states]
-        shifts += [states.select(F.col("ctx").alias("g"), F.col("left").alias("shift"), F.col("whole").alias("n")), now.filter(F.col("shift") != 0).select("g", "shift", "n")]
-        lower = now.select("g", "n", "s")
+        discarded(listed)
+        used.append(lower)
+        shifts += [now.filter(F.col("state").isNotNull()).select("state.*"), now.filter(F.col("shift") != 0).select("g", "shift", "n")]
+        lower = now.select("g", "n", "s", "rest")
     table = written(reduce(DataFrame.unionAll, shifts).groupBy("g").agg(F.sum("shift").alias("shift"), F.max("n").alias("n")), "shifts")
     discarded(*used, lower)
-    frequent = table.filter(F.col("n") >= max(MIN_COUNT, MIN_ENTRY * n)).select("g", "shift").toPandas()
-    return Tree(Lookup(head["g"].to_numpy()), head["s"].to_numpy(dtype=float), n, distinct, Lookup(frequent["g"].to_numpy()), frequent["shift"].to_numpy(dtype=float), table)
+    frequent = table.filter(F.col("n") >= least_gram).select("g", "shift").toPandas()
+    return Tree(Lookup(head["g"].to_numpy()), head["s"].to_numpy(dtype=float), least_word, n, distinct, Lookup(frequent["g"].to_numpy()), frequent["shift"].to_numpy(dtype=float), least_gram, table)
 
 
 def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,73 +347,119 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff(np.append(first, len(codes)))
 
 
-def counted(text: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """For the distinct codes of each text: where one stands and how often, and where each of the n texts' begin and the last one's end."""
-    order = codes.argsort()
-    # numbers of 16 bits are sorted by their digits
-    order = order[text[order].astype(np.uint16 if n <= 1 << 16 else np.int64).argsort(kind="stable")]
-    text, codes = text[order], codes[order]
-    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (codes[1:] != codes[:-1])])[: len(text)])
-    return order[first], np.diff(np.append(first, len(text))), pa.array(np.searchsorted(text[first], np.arange(n + 1)).astype(np.int32))
+def counted(codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes of each place, sorted, their places, and how often each stands there. Equal codes come with rising places."""
+    order = codes.argsort(kind="stable")
+    codes, places = codes[order], places[order]
+    first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (places[1:] != places[:-1])])[: len(codes)])
+    return codes[first], places[first], np.diff(np.append(first, len(codes)))
+
+
+#: A document's row, or codes that several documents (a unit) ask for, or what these codes add to them.
+MOVED = "unit long, place int, key string, n_tokens long, n_known long, base double, shifted double, size int, data binary"
+DOCUMENT = ["place", "key", "n_tokens", "n_known", "base", "shifted"]
+
+
+def rows_of(kind: str, n: int, **columns: object) -> pa.RecordBatch:
+    """n rows of that Arrow schema, other columns null."""
+    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [pa.field(k, types[t]) for k, t in map(str.split, kind.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields], schema=pa.schema(fields))
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     context = docs.sparkSession.sparkContext
     shared, bits_ = context.broadcast((tree.words, tree.logs, tree.grams, tree.shifts)), context.broadcast(bitmap(tree.table))
+    bits, asked = parts_bits(docs, tree.train_tokens), f"part int, {MOVED}"
+    whole_mass = tree.train_tokens + ADD * (tree.distinct + 1)
+    unknown = float(np.log10(ADD / whole_mass))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (words, logs, grams, shifts), bits = shared.value, bits_.value
+        (words, logs, grams, shifts), some_bits = shared.value, bits_.value
+        unit, n_docs, held = TaskContext.get().partitionId() << 32, 0, []
         for rows, texts in byte_blocks(batches, "text", BLOCK):
             coded = Coded(texts)
             at = words(coded.codes(1))
-            base = np.where(at >= 0, logs[at], 0.0) if len(logs) else np.zeros(len(at))
+            base = np.where(at >= 0, logs[at], unknown) if len(logs) else np.full(len(at), unknown)
             shifted = np.zeros(len(at))
-            open_text, open_codes = [], []
+            # a word by its hash, a gram by its code; both with the number of their text
+            rare = np.flatnonzero(at < 0)
+            held.append((coded.hashes[rare], coded.text[rare] + n_docs))
             for length in range(1, DEPTH + 2):
                 use = np.flatnonzero(coded.place >= length - 1)
                 codes = coded.codes(length)[use]
-                some = has_bit(bits, codes)
+                some = has_bit(some_bits, codes)
                 use, codes = use[some], codes[some]
                 found = grams(codes)
                 shifted[use[found >= 0]] += shifts[found[found >= 0]]
-                open_text.append(coded.text[use[found < 0]])
-                open_codes.append(codes[found < 0])
-            codes = np.concatenate(open_codes)
-            one, times, ends = counted(np.concatenate(open_text), codes, len(texts))
-            structs = pa.StructArray.from_arrays([pa.array(codes[one]), pa.array(times.astype(np.int32))], names=["g", "k"])
-            rare = np.flatnonzero(at < 0)
-            one, times, rare_ends = counted(coded.text[rare], coded.hashes[rare], len(texts))
-            items = pa.StructArray.from_arrays([pa.array(coded.words(rare[one]), pa.binary()), pa.array(times, pa.int64())], names=["word", "k"])
-            sums = lambda x: pa.array(np.add.reduceat(x, coded.starts))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("key"), pa.array(coded.sizes), sums((at >= 0).astype(np.int64)), sums(base), sums(shifted), pa.ListArray.from_arrays(rare_ends, items), pa.ListArray.from_arrays(ends, structs)],
-                names=["key", "n_tokens", "n_known", "base", "shifted", "rare", "grams"],
-            )
-
-    schema = "key string, n_tokens long, n_known long, base double, shifted double, rare array<struct<word:binary,k:long>>, grams array<struct<g:long,k:int>>"
+                held.append((codes[found < 0].view(np.uint64), coded.text[use[found < 0]] + n_docs))
+            sums = lambda x: np.add.reduceat(x, coded.starts)
+            n, places = len(texts), np.arange(n_docs, n_docs + len(texts))
+            part = np.full(n, unit % (1 << bits))
+            yield rows_of(asked, n, part=part, unit=np.full(n, unit), place=places, key=rows.column("key"), n_tokens=coded.sizes, n_known=sums((at >= 0).astype(np.int64)), base=sums(base), shifted=sums(shifted))
+            n_docs += n
+            if n_docs >= UNIT_DOCS or sum(len(x[0]) for x in held) >= ENTRIES:
+                yield moved(unit, held)
+                unit, n_docs, held = unit + 1, 0, []
+        if held:
+            yield moved(unit, held)
+
+    def moved(unit: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        codes, places, k = counted(*(np.concatenate(x) for x in zip(*held)))
+        rows = list(dealt(codes, bits, places.astype(np.uint32), k.astype(np.uint32)))
+        return rows_of(asked, len(rows), part=[r[0] for r in rows], unit=[unit] * len(rows), size=[r[1] for r in rows], data=[r[2] for r in rows])
+
+    def answered(asking: pa.Table, table: pa.Table) -> pa.Table:
+        asks = asking.filter(pa.compute.is_valid(asking["data"]))
+        order = (g := np.asarray(table["g"]).view(np.uint64)).argsort()
+        g, value, word = g[order], np.asarray(table["value"])[order], table["word"].to_numpy()[order].astype(bool)
+        units, sizes, found = [], [], []
+        for unit, size, data in zip(asks["unit"].to_pylist(), asks["size"].to_pylist(), asks["data"].to_pylist(), strict=True):
+            codes, places, k = unpacked(data, size, np.uint64, np.uint32, np.uint32)
+            codes = codes.cumsum()
+            at = np.minimum(np.searchsorted(g, codes), len(g) - 1)
+            hit = g[at] == codes if len(g) else np.zeros(len(at), dtype=bool)
+            if not hit.any():
+                continue
+            at, k = at[hit], k[hit].astype(float)
+            of, place = np.unique(places[hit], return_inverse=True)
+            is_word, added = word[at], k * value[at]
+            base, known, shift = (np.bincount(place, x, len(of)) for x in (added * is_word, k * is_word, added * ~is_word))
+            units.append(unit)
+            sizes.append(len(of))
+            found.append(packed(of, known.astype(np.uint32), base, shift))
+        documents = asking.filter(pa.compute.is_null(asking["data"])).drop_columns("part")
+        return pa.concat_tables([documents, pa.Table.from_batches([rows_of(MOVED, len(units), unit=units, size=sizes, data=found)])])
+
+    def together(group: pa.Table) -> pa.Table:
+        rows = group.filter(pa.compute.is_null(group["data"])).select(DOCUMENT).sort_by("place")
+        n_known, base, shifted = (rows[c].to_numpy().copy() for c in ("n_known", "base", "shifted"))
+        answers = group.filter(pa.compute.is_valid(group["data"]))
+        for size, data in zip(answers["size"].to_pylist(), answers["data"].to_pylist(), strict=True):
+            of, known, more, shift = unpacked(data, size, np.uint32, np.uint32, np.float64, np.float64)
+            n_known[of] += known
+            base[of] += more
+            shifted[of] += shift
+        return pa.table({"key": rows["key"], "n_tokens": rows["n_tokens"], "n_known": n_known, "base": base, "shifted": shifted})
+
     kind = docs.schema[key].dataType
-    plain = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    rows = written(plain.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored-rows")
-    # words and grams outside the head, each once a document: what they count is joined, and a document's sums come back
-    whole_mass = tree.train_tokens + ADD * (tree.distinct + 1)
-    share = F.log10((F.coalesce("n", F.lit(0)) + F.lit(ADD)) / F.lit(whole_mass))
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
-    seen = rare.join(counts, rare["word"].eqNullSafe(counts["word"]), "left")
-    found = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)
-    # each sum is written before the next begins, so that the shuffle files of one are gone by then
-    words = written(seen.groupBy("row").agg(F.sum(F.col("k") * share).alias("more"), F.sum(found).alias("found")), "word-sums")
-    open_ = rows.select("row", F.explode("grams").alias("r")).select("row", "r.g", "r.k").join(tree.table.select("g", "shift"), "g")
-    grams = written(open_.groupBy("row").agg(F.sum(F.col("k") * F.col("shift")).alias("open")), "gram-sums")
-    base = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return rows.drop("rare", "grams").join(words, "row", "left").join(grams, "row", "left").select(
+    asking = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInArrow(run, asked)
+    share = F.log10((F.col("n") + F.lit(ADD)) / F.lit(whole_mass)) - F.lit(unknown)
+    # what isn't in the head: words by their hashes, then grams
+    rare = words_coded(counts.filter(F.col("n") < tree.least_word)).select(F.col("g").bitwiseXOR(of_length(1)).alias("g"), share.alias("value"), F.lit(True).alias("word"))
+    table = rare.unionAll(tree.table.filter(F.col("n") < tree.least_gram).select("g", F.col("shift").alias("value"), F.lit(False).alias("word")))
+    table = table.withColumn("part", F.shiftrightunsigned("g", 64 - bits).cast("int"))
+    answers = written(asking.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(answered, MOVED), "answers")
+    rows = answers.groupBy("unit").applyInArrow(together, "key string, n_tokens long, n_known long, base double, shifted double")
+    return rows.select(
         F.col("key").cast(kind).alias(key),
         (fold("key", FOLDS) == HELD).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("shifted") + F.coalesce("open", F.lit(0.0))).alias("score"),
+        F.col("base").alias("base_score"),
+        (F.col("base") + F.col("shifted")).alias("score"),
     )
 
 
@@ -342,4 +473,7 @@ def fit_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     learned = training(docs, key)
     counts = written(word_counts(learned, text), "word-counts")
-    return score(docs, fit(learned, counts, text), counts, key, text)
+    tree = fit(learned, counts, text)
+    found = score(docs, tree, counts, key, text)
+    discarded(counts, tree.table)
+    return found
