@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import byte_blocks
-from larkspur.llm.common import LOWER_BYTES, discarded, fold, shuffle_partitions, written
+from larkspur.llm.common import LOWER_BYTES, discarded, fold, written
 from larkspur.llm.lookup import Lookup
 
 DEPTH = 3
@@ -51,9 +51,13 @@ BLOCK = 4_000_000
 #: Words that are hashed at once.
 WORDS = 1 << 14
 #: Grams and documents whose codes move together, and tokens of the corpus for each part that codes are dealt to.
-ENTRIES, UNIT_DOCS, PART_TOKENS = 2_000_000, 50_000, 4_000_000
-#: Bits by which a word's hash is turned for each word after it in a gram; what is added for a gram's length.
-TURN = 17
+ENTRIES, UNIT_DOCS, PART_TOKENS = 1_500_000, 50_000, 4_000_000
+#: Bits by which a gram's code is turned before the next word is added: the last two make it depend on pairs of bits, so that no
+#: context stands for another one.
+TURNS = 17, 7, 29
+#: Bits of a context's code that move along with its grams.
+TAG = 0xFFFFFFFF
+#: What is added to a code for its gram's length.
 LENGTHS = np.array([0, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 
 
@@ -154,29 +158,30 @@ class Coded:
     def codes(self, n: int) -> np.ndarray:
         """The code of the n words that end at each token; without meaning where its text has fewer."""
         while len(self.sums) < n:
-            k = len(self.sums)
             before = np.zeros_like(self.hashes)
-            before[k:] = self.hashes[:-k] if k < len(before) else 0
-            self.sums.append(self.sums[-1] ^ turned(before, TURN * k % 64))
+            before[1:] = self.sums[-1][:-1]
+            self.sums.append(carried(before) ^ self.hashes)
         return (self.sums[n - 1] ^ LENGTHS[n]).view(np.int64)
 
 
-def turned(x: np.ndarray, by: int) -> np.ndarray:
-    return x << np.uint64(by) | x >> np.uint64(64 - by)
+def carried(x: np.ndarray) -> np.ndarray:
+    """What a code without its length becomes when a word follows; that word's hash is added by exclusive or."""
+    a, b, c = (x << np.uint64(n) | x >> np.uint64(64 - n) for n in TURNS)
+    return a ^ (b & c)
 
 
-def turned_column(x: Column) -> Column:
-    """The same by TURN; shifts never overflow."""
-    return F.shiftleft(x, TURN).bitwiseOR(F.shiftrightunsigned(x, 64 - TURN))
+def carried_column(x: Column) -> Column:
+    a, b, c = (F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n)) for n in TURNS)
+    return a.bitwiseXOR(b.bitwiseAND(c))
 
 
 def of_length(n: int) -> Column:
     return F.lit(int(LENGTHS[n].view(np.int64)))
 
 
-def parts_bits(docs: DataFrame, tokens: int) -> int:
+def parts_bits(tokens: int) -> int:
     """First bits of a code by which codes are dealt out, so that a part has about PART_TOKENS of the corpus."""
-    return max(1, (max(shuffle_partitions(docs.sparkSession), tokens // PART_TOKENS) - 1).bit_length())
+    return max(1, (tokens // PART_TOKENS).bit_length())
 
 
 def dealt(codes: np.ndarray, bits: int, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -213,24 +218,27 @@ def bitmap(codes: DataFrame) -> np.ndarray:
 
     def bit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(at_bit(np.asarray(batch.column("g")))))], names=["at"])
+            at = np.unique(at_bit(np.asarray(batch.column("g"))))
+            edges = np.flatnonzero(np.diff(at // PIECE, prepend=-1))
+            places = (at % PIECE).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array(at[edges] // PIECE), pa.array([x.tobytes() for x in np.split(places, edges[1:])] if len(at) else [], pa.binary())], names=["piece", "places"])
 
-    def packed(group: pa.Table) -> pa.Table:
-        at = np.asarray(group.column("at"))
+    def united(group: pa.Table) -> pa.Table:
         bits = np.zeros(PIECE, dtype=np.uint8)
-        bits[at % PIECE] = 1
-        return pa.table({"piece": pa.array([int(at[0]) // PIECE]), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        bits[np.frombuffer(b"".join(group["places"].to_pylist()), dtype=np.uint16)] = 1
+        return pa.table({"piece": group["piece"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     bits = np.zeros((BITMAP // PIECE, PIECE // 8), dtype=np.uint8)
-    pieces = codes.select("g").mapInArrow(bit, "at long").distinct().groupBy(F.floor(F.col("at") / PIECE).alias("piece")).applyInArrow(packed, "piece long, bits binary")
+    pieces = written(codes.select("g").mapInArrow(bit, "piece long, places binary").groupBy("piece").applyInArrow(united, "piece long, bits binary"), "bitmap")
     for r in pieces.toLocalIterator():
         bits[r["piece"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    discarded(pieces)
     return bits.reshape(-1)
 
 
 def gram_counts(docs: DataFrame, depth: int, wanted: np.ndarray, bits: int, text: str = "text") -> DataFrame:
     """g, n over all rows, and the context's tag of the grams listed whose context has `depth` words and a bit. bits: parts_bits."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared, mask = docs.sparkSession.sparkContext.broadcast(wanted), np.uint64(TAG)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -241,7 +249,7 @@ def gram_counts(docs: DataFrame, depth: int, wanted: np.ndarray, bits: int, text
             use = use[has_bit(shared.value, shorter[use - 1])]
             codes = coded.codes(depth + 1)[use].view(np.uint64)
             first, n = distinct(codes)
-            held.append((codes[first], n.astype(np.uint32), tags(shorter[use[first] - 1])))
+            held.append((codes[first], n.astype(np.uint32), (shorter[use[first] - 1].view(np.uint64) & mask).astype(np.uint32)))
             if sum(len(x[0]) for x in held) >= ENTRIES:
                 yield moved(held)
                 held = []
@@ -263,10 +271,6 @@ def gram_counts(docs: DataFrame, depth: int, wanted: np.ndarray, bits: int, text
     return found.groupBy("part").applyInArrow(listed, "g long, n long, tag long")
 
 
-def tags(codes: np.ndarray) -> np.ndarray:
-    return codes.view(np.uint64).astype(np.uint32)
-
-
 def summed(codes: np.ndarray, n: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct codes in order, the sum of their n, and what one of each is of."""
     order = codes.argsort()
@@ -303,14 +307,14 @@ def fit(docs: DataFrame, counts: DataFrame, text: str = "text") -> Tree:
     # thresholds bound what comes to the driver
     least_word, least_gram = max(MIN_COUNT, MIN_WORD * n), max(MIN_COUNT, MIN_ENTRY * n)
     head = lower.filter(F.col("n") >= least_word).select("g", "s").toPandas()
-    bits, shifts, used = parts_bits(docs, n), [], []
+    bits, shifts, used = parts_bits(n), [], []
     of_context = Window.partitionBy("ctx")
     for depth in range(1, DEPTH + 1):
         own = lower.filter(F.col("n") >= MIN_STATE)
         listed = written(gram_counts(docs, depth, bitmap(own), bits, text), f"listed-{depth + 1}")
-        contexts = own.select(F.col("g").alias("ctx"), F.col("n").alias("whole"), F.col("rest").alias("ctx_rest"), F.col("g").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"))
-        last = F.col("g").bitwiseXOR(of_length(depth + 1)).bitwiseXOR(turned_column(F.col("ctx").bitwiseXOR(of_length(depth))))
-        seen = listed.join(contexts, "tag").select("ctx", "whole", "g", "n", turned_column(F.col("ctx_rest")).bitwiseXOR(last).alias("rest"))
+        contexts = own.select(F.col("g").alias("ctx"), F.col("n").alias("whole"), F.col("rest").alias("ctx_rest"), F.col("g").bitwiseAND(F.lit(TAG)).alias("tag"))
+        last = F.col("g").bitwiseXOR(of_length(depth + 1)).bitwiseXOR(carried_column(F.col("ctx").bitwiseXOR(of_length(depth))))
+        seen = listed.join(contexts, "tag").select("ctx", "whole", "g", "n", carried_column(F.col("ctx_rest")).bitwiseXOR(last).alias("rest"))
         suffixes = lower.select(F.col("g").bitwiseXOR(of_length(depth)).alias("rest"), F.col("s").alias("lower"))
         seen = seen.join(suffixes, "rest")
         taken = F.sum(F.col("n") - DISCOUNT).over(of_context)
@@ -371,7 +375,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", t
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     context = docs.sparkSession.sparkContext
     shared, bits_ = context.broadcast((tree.words, tree.logs, tree.grams, tree.shifts)), context.broadcast(bitmap(tree.table))
-    bits, asked = parts_bits(docs, tree.train_tokens), f"part int, {MOVED}"
+    bits, asked = parts_bits(tree.train_tokens), f"part int, {MOVED}"
     whole_mass = tree.train_tokens + ADD * (tree.distinct + 1)
     unknown = float(np.log10(ADD / whole_mass))
 
@@ -385,7 +389,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", t
             shifted = np.zeros(len(at))
             # a word by its hash, a gram by its code; both with the number of their text
             rare = np.flatnonzero(at < 0)
-            held.append((coded.hashes[rare], coded.text[rare] + n_docs))
+            held.append((coded.hashes[rare], (coded.text[rare] + n_docs).astype(np.uint32)))
             for length in range(1, DEPTH + 2):
                 use = np.flatnonzero(coded.place >= length - 1)
                 codes = coded.codes(length)[use]
@@ -393,10 +397,10 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", t
                 use, codes = use[some], codes[some]
                 found = grams(codes)
                 shifted[use[found >= 0]] += shifts[found[found >= 0]]
-                held.append((codes[found < 0].view(np.uint64), coded.text[use[found < 0]] + n_docs))
+                held.append((codes[found < 0].view(np.uint64), (coded.text[use[found < 0]] + n_docs).astype(np.uint32)))
             sums = lambda x: np.add.reduceat(x, coded.starts)
             n, places = len(texts), np.arange(n_docs, n_docs + len(texts))
-            part = np.full(n, unit % (1 << bits))
+            part = np.full(n, ((unit >> 32) + unit) % (1 << bits))
             yield rows_of(asked, n, part=part, unit=np.full(n, unit), place=places, key=rows.column("key"), n_tokens=coded.sizes, n_known=sums((at >= 0).astype(np.int64)), base=sums(base), shifted=sums(shifted))
             n_docs += n
             if n_docs >= UNIT_DOCS or sum(len(x[0]) for x in held) >= ENTRIES:
@@ -407,7 +411,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", t
 
     def moved(unit: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         codes, places, k = counted(*(np.concatenate(x) for x in zip(*held)))
-        rows = list(dealt(codes, bits, places.astype(np.uint32), k.astype(np.uint32)))
+        rows = list(dealt(codes, bits, places, k.astype(np.uint32)))
         return rows_of(asked, len(rows), part=[r[0] for r in rows], unit=[unit] * len(rows), size=[r[1] for r in rows], data=[r[2] for r in rows])
 
     def answered(asking: pa.Table, table: pa.Table) -> pa.Table:

@@ -262,6 +262,31 @@ def test_suffix_tree_keeps_what_is_rare(spark, monkeypatch, least):
     assert got == pytest.approx(want)
 
 
+def test_suffix_tree_moves_codes_together(spark):
+    """Codes of many grams are one row a part, about six bytes each; a document's codes are counted."""
+    codes = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 200_000, dtype=np.uint64))
+    n = np.ones(len(codes), dtype=np.uint32)
+    moved = list(suffix_tree.dealt(codes, 4, n))
+    assert [part for part, _, _ in moved] == list(range(16)) and sum(len(x) for *_, x in moved) < 7 * len(codes)
+    back = [suffix_tree.unpacked(data, size, np.uint64, np.uint32) for _, size, data in moved]
+    assert (np.concatenate([x[0].cumsum() for x in back]) == codes).all() and (np.concatenate([x[1] for x in back]) == n).all()
+    assert list(suffix_tree.dealt(codes[:0], 4, n[:0])) == []
+    got = suffix_tree.counted(np.array([5, 3, 5, 5], dtype=np.uint64), np.array([0, 0, 0, 1], dtype=np.uint32))
+    assert [x.tolist() for x in got] == [[3, 5, 5], [0, 0, 1], [1, 2, 1]]
+    bits = suffix_tree.bitmap(spark.createDataFrame([(int(x),) for x in codes[:1000].view(np.int64)], "g long"))
+    assert suffix_tree.has_bit(bits, codes[:1000].view(np.int64)).all() and np.unpackbits(bits).sum() <= 1000
+
+
+def test_suffix_tree_tells_contexts_of_one_tag_apart(spark, monkeypatch):
+    r = random.Random(5)
+    found = [(i, " ".join(r.choice("abcdefgh" if i % 2 else "aabbc") + r.choice("xy") for _ in range(150))) for i in range(60)]
+    monkeypatch.setattr(suffix_tree, "TAG", 1)
+    want, n_states = brute_scores(found)
+    assert n_states[1] > 4
+    got = {x["doc_id"]: x["score"] for x in suffix_tree.fit_and_score(spark.createDataFrame(found, "doc_id long, text string")).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_byte_bpe(docs, rows, empty):
     import tiktoken
 
@@ -306,6 +331,23 @@ def test_token_files_marks_after_letters_that_come_apart():
     assert [u for u, g, w in zip(units, got, want, strict=True) if g != w] == []
 
 
+def test_token_files_look_units_up_once(monkeypatch):
+    """New units leave places that are filled; memories take turns, and long units aren't kept."""
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "MEMORY", 20)
+    monkeypatch.setattr(token_files, "_TOKENIZERS", {})
+    tokenizer, r = Tokenizer.from_file(WORDS), random.Random(2)
+    for _ in range(12):
+        block = ["", "  ", "y" * 100, *(" ".join(r.choice(["Word", "word,", "x1", "don't", "Straße;", "y" * 70, str(r.randrange(40))]) for _ in range(30)) for _ in range(4))]
+        want = [array("H", [*tokenizer.encode(x, add_special_tokens=False).ids, 2]).tobytes() for x in block]
+        assert token_files.encode_block(WORDS, [x.encode() for x in block], 2, 2) == want
+        _, known, _ = token_files._TOKENIZERS[WORDS]
+        assert known.open == {} and max(map(len, known)) <= token_files.LONGEST and set(map(type, known.values())) == {bytes}
+
+
 def brute_components(rows, width):
     lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
     sets = []
