@@ -40,13 +40,27 @@ READ_BYTES = 4_000_000
 _TOKENIZERS: dict[str, list] = {}
 
 
+class Memory(dict):
+    """Packed ids of units. Looking up a unit without any gives a place among `open`, to be filled when those are encoded together."""
+
+    def __init__(self):
+        super().__init__()
+        self.open: dict[bytes, bytearray] = {}
+
+    def __missing__(self, unit: bytes) -> bytearray:
+        place = self.open.get(unit)
+        if place is None:
+            place = self.open[unit] = bytearray()
+        return place
+
+
 def _tokenizer(path: str):
     """One tokenizer, and a younger and an older memory of units, for each worker process."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = [Tokenizer.from_file(path), {}, {}]
+        _TOKENIZERS[path] = [Tokenizer.from_file(path), Memory(), Memory()]
     return _TOKENIZERS[path]
 
 
@@ -99,22 +113,20 @@ def encode_block(path: str, texts: list[bytes], end: int, width: int) -> list[by
     """The packed ids of each text and the end id. White space is no token and parts all others, so units are encoded once each."""
     tools = _tokenizer(path)
     if len(tools[1]) > MEMORY:  # what is used again comes back from the older memory, the rest is forgotten
-        tools[1:] = {}, tools[1]
+        tools[1:] = Memory(), tools[1]
     tokenizer, known, older = tools
-    cut = [x.split() for x in texts]
-    fresh = set()
-    for units in cut:
-        fresh.update(units)
+    # one look-up a unit: the places of new ones are filled below
+    found = [list(map(known.__getitem__, x.split())) for x in texts]
+    new, known.open = known.open, {}
     kind = "H" if width == 2 else "I"
-    new = [x for x in fresh if x not in known]
     known.update((x, older[x]) for x in new if x in older)
     learned(tokenizer, known, [x for x in new if x not in older], kind)
-    last = array(kind, [end]).tobytes()
-    out = [b"".join(map(known.__getitem__, units)) + last for units in cut]
-    for unit in fresh:
+    for unit, place in new.items():
+        place += known[unit]
         if len(unit) > LONGEST:
-            known.pop(unit, None)
-    return out
+            del known[unit]
+    last = array(kind, [end]).tobytes()
+    return [b"".join(units) + last for units in found]
 
 
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
